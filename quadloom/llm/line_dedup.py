@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
@@ -35,7 +35,8 @@ _Q = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LINES = "h1 bigint, h2 bigint, doc_id bigint, line_no int, n_words int, keys array<bigint>"
 _FIRSTS = _LINES + ", first_doc_id bigint, first_line_no int"
-_VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, line_no int, h1 bigint, h2 bigint"
+_VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, line_no int, tag int"
+_NEAR = "doc_id bigint, line_no int, tag int, best_doc_id bigint, best_line_no int"
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -116,20 +117,25 @@ def _line_rows(batches):
 
 
 def _first_rows(batches):
-    """From rows sorted by (h1, h2, doc_id, line_no): each with the first of its equal lines."""
+    """From rows sorted by (h1, h2, doc_id, line_no): each place with the first of its equal lines."""
     last: tuple[int, int, int, int] | None = None
+    before: tuple | None = None
     for b in batches:
         if not b.num_rows:
             continue
         h1, h2, doc, line = (b.column(k).to_numpy() for k in range(4))
         new = np.ones(b.num_rows, bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        again = np.zeros(b.num_rows, bool)  # the same place twice: a repeated row
+        again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (line[1:] == line[:-1])
+        again[0] = before == (h1[0], h2[0], doc[0], line[0])
+        before = (h1[-1], h2[-1], doc[-1], line[-1])
         start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
         first_doc, first_line = doc[start], line[start]
         if last and last[:2] == (h1[0], h2[0]):
             first_doc[start == 0], first_line[start == 0] = last[2:]
         last = (h1[-1], h2[-1], int(first_doc[-1]), int(first_line[-1]))
-        yield pa.record_batch([*b.columns, pa.array(first_doc), pa.array(first_line)], names=[*b.schema.names, "first_doc_id", "first_line_no"])
+        yield pa.record_batch([*b.columns, pa.array(first_doc), pa.array(first_line)], names=[*b.schema.names, "first_doc_id", "first_line_no"]).filter(pa.array(~again))
 
 
 def _variant_rows(batches):
@@ -141,7 +147,7 @@ def _variant_rows(batches):
             flat = wanted.flatten()
             sizes = np.diff(np.asarray(wanted.offsets))
             asked = {(t, n, h) for t, n, h in zip(np.repeat(np.arange(part.num_rows), sizes).tolist(), flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)}
-            h1, h2 = lines.digest(0).view(np.int64), lines.digest(1).view(np.int64)
+            h1 = lines.digest(0).view(np.int64)
             line = np.array([k for k, x in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), h1.tolist(), strict=True)) if x in asked], np.int64)
             if not len(line):
                 continue
@@ -152,11 +158,77 @@ def _variant_rows(batches):
             both = [np.concatenate([lines.digest(k, line), lines.without(k, row, word)]) for k in (0, 1)]
             row, place = np.concatenate([line, row]), np.concatenate([np.full(len(line), -1), place])
             yield pa.record_batch(
-                [pa.array(both[0].view(np.int64)), pa.array((both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(place.astype(np.int32)), part.column(0).take(pa.array(lines.doc[row])), pa.array(lines.number[row].astype(np.int32)), pa.array(h1[row]), pa.array(h2[row])],
-                names=["v1", "v2", "place", "doc_id", "line_no", "h1", "h2"],
+                [pa.array(both[0].view(np.int64)), pa.array((both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(place.astype(np.int32)), part.column(0).take(pa.array(lines.doc[row])), pa.array(lines.number[row].astype(np.int32)), pa.array(h1[row].astype(np.int32))],
+                names=["v1", "v2", "place", "doc_id", "line_no", "tag"],
             )
 
 
+def _runs(batches):
+    """Tables of whole runs of the first column from batches that are sorted by it; only runs of several rows."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def several(columns: tuple[np.ndarray, ...]):
+        key = columns[0]
+        same = key[1:] == key[:-1]
+        some = np.zeros(len(key), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        return tuple(c[some] for c in columns)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+        key = columns[0]
+        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        if cut == 0 and held and held[-1][0][-1] == key[0]:
+            held.append(columns)
+            continue
+        done = [*held, tuple(c[:cut] for c in columns)]
+        yield several(tuple(np.concatenate(c) for c in zip(*done, strict=True)))
+        held = [tuple(c[cut:] for c in columns)]
+    if held:
+        yield several(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _able_rows(batches):
+    """From (key, h1) sorted by key: the lines that share a key with another line."""
+    for key, h1 in _runs(batches):
+        order = np.lexsort((h1, key))
+        key, h1 = key[order], h1[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        mixed = h1[start] != h1[start + size - 1]
+        yield pa.record_batch([pa.array(np.unique(h1[np.repeat(mixed, size)]))], names=["h1"])
+
+
+def _near_rows(batches):
+    """From variants sorted by v1: lines with an earlier line one edit away."""
+    for v1, v2, place, doc, number, tag in _runs(batches):
+        order = np.lexsort((number, doc, place, v2, v1))
+        v1, v2, place, doc, number, tag = (x[order] for x in (v1, v2, place, doc, number, tag))
+        if not len(v1):
+            continue
+        group = np.cumsum(np.concatenate(([0], (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1]))))
+        run = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (place[1:] != place[:-1]))))
+        first_of_run = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        first_of_group = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        # For lines that are the variant themselves, the earliest of all places; the runs' firsts suffice.
+        by_rank = first_of_run[np.lexsort((number[first_of_run], doc[first_of_run], group[first_of_run]))]
+        earliest = by_rank[np.concatenate(([True], group[by_rank][1:] != group[by_rank][:-1]))]
+        best = first_of_run[run]
+        whole = first_of_group[group]
+        has_whole = place[whole] == -1
+
+        def earlier(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (number[a] < number[b]))  # noqa: B023
+
+        best = np.where(has_whole & earlier(whole, best), whole, best)
+        best = np.where(place == -1, earliest[group], best)
+        hit = np.flatnonzero(earlier(best, np.arange(len(best))))
+        yield pa.record_batch([pa.array(doc[hit]), pa.array(number[hit]), pa.array(tag[hit]), pa.array(doc[best[hit]]), pa.array(number[best[hit]])], names=["doc_id", "line_no", "tag", "best_doc_id", "best_line_no"])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to remove: doc_id, line_no, first_doc_id, first_line_no, edits.
 
@@ -164,27 +236,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     0 if it is equal and 1 otherwise. Lines count from 0. Lines without a word
     stay; null and empty texts and an empty table have none. Rows that repeat a
     document under one id are one document; the same place of two different
-    texts under one id counts as one place, which is no copy of itself.
+    texts under one id counts as one place, which is no copy of itself, and has a row for each of its lines.
     """
     texts = A.ids_and_texts(docs, id_col, text_col)
     lines = texts.mapInArrow(_line_rows, _LINES).repartition("h1").sortWithinPartitions("h1", "h2", "doc_id", "line_no").mapInArrow(_first_rows, _FIRSTS)
     # n_words is negative where the line has too few 4-grams to be ruled out by them.
     firsts = lines.where((F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.abs("n_words") >= MIN_WORDS))
-    shared = Window.partitionBy("key")
-    keys = firsts.select(F.explode(F.array_distinct("keys")).alias("key"), "h1", (F.col("n_words") < 0).alias("short"))
-    able = keys.withColumn("low", F.min("h1").over(shared)).withColumn("high", F.max("h1").over(shared)).where("short or low <> high").select("h1").distinct()
-    places = firsts.join(able, "h1", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1", "h2")).alias("lines"))
+    keys = firsts.select(F.explode(F.array_distinct("keys")).alias("key"), "h1")
+    able = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_able_rows, "h1 bigint").unionByName(firsts.where("n_words < 0").select("h1")).distinct()
+    able = firsts.join(able, "h1", "left_semi").select("doc_id", "line_no", "h1", "h2")
+    places = able.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("lines"))
     variants = texts.join(places, "doc_id").select("doc_id", "text", "lines").mapInArrow(_variant_rows, _VARIANTS)
+    near = variants.repartition("v1").sortWithinPartitions("v1").mapInArrow(_near_rows, _NEAR)
+    near = near.groupBy("doc_id", "line_no", "tag").agg(F.min(F.struct(F.col("best_doc_id").alias("doc_id"), F.col("best_line_no").alias("line_no"))).alias("best"))
     here = F.struct("doc_id", "line_no")
-    same_place, same_key = Window.partitionBy("v1", "v2", "place"), Window.partitionBy("v1", "v2")
-    whole = F.col("place") == -1
-    near = variants.withColumn("beside", F.min(here).over(same_place)).withColumn("any", F.min(here).over(same_key)).withColumn("shorter", F.min(F.when(whole, here)).over(same_key))
-    near = near.withColumn("best", F.when(whole, F.col("any")).otherwise(F.least("beside", "shorter"))).where(F.col("best") < here)
-    near = near.groupBy("h1", "h2").agg(F.min("best").alias("best"))
-    out = lines.drop("keys", "n_words").join(near, ["h1", "h2"], "left")
+    named = near.join(able.withColumn("tag", F.expr("cast(h1 << 32 >> 32 as int)")), ["doc_id", "line_no", "tag"]).select("h1", "h2", "best")
+    out = lines.drop("keys", "n_words").join(named, ["h1", "h2"], "left")
     equal = F.struct(F.col("first_doc_id").alias("doc_id"), F.col("first_line_no").alias("line_no"))
     out = out.withColumn("first", F.least("best", equal)).withColumn("edits", F.when(F.col("first") < equal, 1).otherwise(0))
-    return out.where(F.col("first") < here).select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits").distinct()
+    return out.where(F.col("first") < here).select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
