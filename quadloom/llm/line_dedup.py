@@ -10,11 +10,9 @@ itself or both lost the word at the same place. A line goes if an earlier line,
 by (id, line number), is within the bound.
 
 Two steps keep the join small without losing a pair. Equal lines are collapsed
-first. Then a line only emits variants if it can have a partner: an edit changes
-at most ``SHINGLE`` of a line's word 4-grams, so the ``SHINGLE`` + 1 smallest
-4-gram hashes of near copies always have one in common, and a line whose
-smallest hashes occur in no other line has no near copy. Lines with too few
-4-grams for that argument always emit.
+first. Then a line only emits variants if it can have a partner: one edit leaves
+the first or the last half of the words as they are, so lines that share neither
+a first nor a last half with another line have no near copy.
 """
 
 from __future__ import annotations
@@ -28,11 +26,8 @@ from . import arrowtext as A
 
 EDITS = 1
 MIN_WORDS = 5
-SHINGLE = 4
-PREFIX = SHINGLE + 1
 
 _Q = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LINES = "h1 bigint, h2 bigint, doc_id bigint, line_no int, n_words int, keys array<bigint>"
 _FIRSTS = _LINES + ", first_doc_id bigint, first_line_no int"
 _VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, line_no int, tag int"
@@ -85,35 +80,33 @@ class _Lines:
         a, b = self.a[line], self.b[line]
         return A.mix(((total[word] - total[a]) + (total[b] - total[word + 1]) * back[1]) * back[a] + (b - a - 1).astype(np.uint64))
 
-    def keys(self) -> np.ndarray:
-        """The PREFIX smallest distinct 4-gram hashes of each line; places beyond their number hold the largest value."""
-        out = np.full((len(self.n), PREFIX), _TOP)
-        enough = np.flatnonzero(self.n >= SHINGLE)
-        if not len(enough):
-            return out
-        grams = A.grams(self.word, SHINGLE)
-        count = self.n[enough] - SHINGLE + 1
-        first = np.concatenate(([0], np.cumsum(count)[:-1]))
-        x = grams[np.arange(count.sum()) + np.repeat(self.a[enough] - first, count)]
-        for k in range(PREFIX):
-            low = np.minimum.reduceat(x, first)
-            out[enough, k] = low
-            x[x == np.repeat(low, count)] = _TOP
-        return out
+    def part(self, a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+        """Hashes of the words from a up to b."""
+        total, back = self.sums[0], _power(0, len(self.word) + 2)[1]
+        return A.mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * _Q[1] + np.uint64(salt))
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key): first and last halves of the lines of MIN_WORDS or more, for half the words rounded down and for
+        half of one word less, as a line has to meet lines of one word more too."""
+        line = np.flatnonzero(self.n >= MIN_WORDS)
+        even = line[self.n[line] % 2 == 0]
+        lines, keys = [], []
+        for rows, half in ((line, self.n[line] // 2), (even, self.n[even] // 2 - 1)):
+            a, b = self.a[rows], self.b[rows]
+            lines += [rows, rows]
+            keys += [self.part(a, a + half, 1), self.part(b - half, b, 2)]
+        return np.concatenate(lines), np.concatenate(keys)
 
 
 def _line_rows(batches):
     for batch in batches:
         for part in A.chunks(batch, 1):
             lines = _Lines(*A.as_bytes(part.column(1)))
-            k = lines.keys()
-            # A full prefix proves that the line may need a partner that shares one; fewer keys are marked by a null list.
-            real = k != _TOP
-            k = np.where(real, k, k[:, :1])
-            offsets = np.arange(len(k) + 1, dtype=np.int32) * PREFIX
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(k.view(np.int64).ravel()))
-            n = np.where(real.all(axis=1), lines.n, -lines.n)
-            yield pa.record_batch([pa.array(lines.digest(0).view(np.int64)), pa.array(lines.digest(1).view(np.int64)), part.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(n.astype(np.int32)), keys], names=["h1", "h2", "doc_id", "line_no", "n_words", "keys"])
+            line, key = lines.halves()
+            order = np.argsort(line, kind="stable")
+            offsets = np.searchsorted(line[order], np.arange(len(lines.n) + 1)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
+            yield pa.record_batch([pa.array(lines.digest(0).view(np.int64)), pa.array(lines.digest(1).view(np.int64)), part.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.n.astype(np.int32)), keys], names=["h1", "h2", "doc_id", "line_no", "n_words", "keys"])
 
 
 def _first_rows(batches):
@@ -240,10 +233,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     texts = A.ids_and_texts(docs, id_col, text_col)
     lines = texts.mapInArrow(_line_rows, _LINES).repartition("h1").sortWithinPartitions("h1", "h2", "doc_id", "line_no").mapInArrow(_first_rows, _FIRSTS)
-    # n_words is negative where the line has too few 4-grams to be ruled out by them.
-    firsts = lines.where((F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.abs("n_words") >= MIN_WORDS))
-    keys = firsts.select(F.explode(F.array_distinct("keys")).alias("key"), "h1")
-    able = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_able_rows, "h1 bigint").unionByName(firsts.where("n_words < 0").select("h1")).distinct()
+    firsts = lines.where((F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.col("n_words") >= MIN_WORDS))
+    keys = firsts.select(F.explode("keys").alias("key"), "h1")
+    able = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_able_rows, "h1 bigint").distinct()
     able = firsts.join(able, "h1", "left_semi").select("doc_id", "line_no", "h1", "h2")
     places = able.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("lines"))
     variants = texts.join(places, "doc_id").select("doc_id", "text", "lines").mapInArrow(_variant_rows, _VARIANTS)
