@@ -28,6 +28,8 @@ FILTERS = 8
 SAMPLE = 300
 WINDOWS_EACH = 6
 EPOCHS = 24
+#: A label is doubted only if another language has at least this probability.
+CONFIDENT = 0.8
 #: Windows that are scored at once.
 BATCH = 1024
 
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
 
     lang is the network's (trained on docs' own labels if none is given),
     probability the geometric mean of its windows' probabilities, declared the
-    label in docs, keep whether they agree. A null or empty text has no window:
+    label in docs, keep is false if they differ and the network is CONFIDENT. A null or empty text has no window:
     lang and probability are null and keep is true, as it is without a label,
     and for every row where there is no labelled text to train on.
     """
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
                 there = weight > 0
                 lang = [net.languages[b] if t else None for b, t in zip(best.tolist(), there.tolist(), strict=True)]
                 p = np.exp(total[np.arange(n), best] / np.maximum(weight, 1))
-                keep = [x is None or d is None or x == d for x, d in zip(lang, declared, strict=True)]
+                keep = [x is None or d is None or x == d or q < CONFIDENT for x, d, q in zip(lang, declared, p.tolist(), strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(lang, pa.string()), pa.array(p, mask=~there), pa.array(count), pa.array(declared, pa.string()), pa.array(keep)], names=["doc_id", "lang", "probability", "n_windows", "declared", "keep"])
 
     return A.ids_and_texts(docs, id_col, text_col, lang_col, "declared").mapInArrow(run, _OUT)
