@@ -160,8 +160,8 @@ _TAIL_OF_CONTEXT = f"if(shiftright(g, {_LEN}) >= 1, (g & 255), -1)"
 class Shard:
     """Part of a model in arrays: for each language sorted n-grams with p, sorted contexts with their weight."""
 
-    def __init__(self, table: pa.Table, tails: dict[str, set[int]] | None):
-        self.tails = tails  # by language the bytes of contexts in this shard; None: all
+    def __init__(self, table: pa.Table, tails: dict[str, np.ndarray] | None):
+        self.tails = tails  # by language which bytes of contexts belong to this shard; None: all
         self.langs: dict[str, tuple[np.ndarray, ...]] = {}
         lang = np.asarray(table.column("lang").to_pylist(), object)
         g, p, back = (table.column(c).to_numpy() for c in ("g", "p", "back"))
@@ -178,7 +178,7 @@ class Shard:
         out, open_ = np.zeros(n_places), np.arange(n_places)
         if self.tails is not None:
             tail = ((t.grams[2] >> np.uint64(8)) & np.uint64(255)).astype(int)
-            open_ = open_[np.isin(tail, list(self.tails.get(lang, ())))]
+            open_ = open_[self.tails[lang][tail]] if lang in self.tails else open_[:0]
         for n in range(ORDER, 0, -1):
             g = t.grams[n][open_].view(np.int64)
             at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
@@ -212,16 +212,21 @@ def shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list[Shard]:
         group.append((r["lang"], r["gram_tail"]))
         total += r["count"]
     out.append(group)
-    result = []
+    result, begun = [], set()
+    known = {lang: np.zeros(256, bool) for lang, _ in sum(out, [])}
+    for lang, tail in sum(out, []):
+        known[lang][tail] = True
     for group in out:
         langs = sorted({x for x, _ in group})
         pairs = model.sparkSession.createDataFrame(group, "lang string, tail int")
         mine = model.join(F.broadcast(pairs), (model["lang"] == pairs["lang"]) & ((model["gram_tail"] == pairs["tail"]) | (model["ctx_tail"] == pairs["tail"])), "left_semi")
         single = model.where(F.col("lang").isin(langs) & (F.col("gram_tail") == -1))
         rows = mine.unionByName(single).select("lang", "g", "p", "back").distinct().toArrow()
-        tails: dict[str, set[int]] = {}
+        # A byte that is no context in the model belongs to the language's first shard.
+        tails = {lang: np.zeros(256, bool) if lang in begun else ~known[lang] for lang in langs}
+        begun |= set(langs)
         for lang, tail in group:
-            tails.setdefault(lang, set()).add(tail)
+            tails[lang][tail] = True
         result.append(Shard(rows, tails))
     return result
 
