@@ -49,7 +49,7 @@ def join(left: Rel, right: Rel) -> Rel:
     """Natural inner join; a cross join without shared variables."""
     left, right, shared, disjoint = _aligned(left, right)
     loose = [n for n in shared if left.vars[n].nullable or right.vars[n].nullable]
-    out = {n: (V(v.kind, v.nullable and right.vars[n].nullable) if n in shared else v) for n, v in left.vars.items()} | {n: v for n, v in right.vars.items() if n not in shared}
+    out = {n: (V(v.kind, v.nullable and right.vars[n].nullable, v.classes) if n in shared else v) for n, v in left.vars.items()} | {n: v for n, v in right.vars.items() if n not in shared}
     if disjoint:
         return empty(left.df.sparkSession, out)
     if not shared:
@@ -101,7 +101,8 @@ def left_join(left: Rel, right: Rel, condition=None) -> Rel:
     left, right, shared, disjoint = _aligned(left, right)
     other = _renamed(right, shared)
     on = F.lit(False) if disjoint else _compatible(left, right, shared)
-    merged = {n: (V(v.kind, v.nullable and (n not in shared or right.vars[n].nullable or True)) if n in shared else v) for n, v in left.vars.items()} | {n: V(v.kind, True) for n, v in right.vars.items() if n not in shared}
+    # A variable that is unbound on the left may stay unbound, as not every row has a partner.
+    merged = dict(left.vars) | {n: V(v.kind, True) for n, v in right.vars.items() if n not in shared}
     if condition is not None:
         both = {n: ((F.coalesce(left.col(n), _r(n)) if left.vars[n].nullable else left.col(n)) if n in left.vars and n in shared else (left.col(n) if n in left.vars else right.col(n)), merged[n].kind) for n in merged}
         on = on & F.coalesce(condition(both), F.lit(False))
@@ -162,7 +163,9 @@ def union(left: Rel, right: Rel) -> Rel:
         a, b = left.vars.get(n), right.vars.get(n)
         found = {v.kind for v in (a, b) if v} - {"null"}
         kind = "null" if not found else found.pop() if len(found) == 1 else "num" if found == {"int", "num"} else "term"
-        kinds[n] = V(kind, not a or not b or a.nullable or b.nullable)
+        known = not a or a.classes is not None, not b or b.classes is not None
+        classes = frozenset().union(*(v.classes for v in (a, b) if v)) if all(known) else None
+        kinds[n] = V(kind, not a or not b or a.nullable or b.nullable, classes)
 
     def shape(rel: Rel) -> DataFrame:
         for n in rel.vars:

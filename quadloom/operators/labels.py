@@ -33,7 +33,7 @@ def attach(source, child: Rel, node: L.Labels, projected: list[str]) -> Rel:
     for variable, what, target in targets(node, projected, child):
         if variable not in child.vars or target in child.vars:
             continue
-        found = source.labels(what, node.languages)  # (.s, .lang, .value)
+        found = source.labels(what, node.languages, child.vars[variable].classes)  # (.s, .lang, .value)
         # An array of languages in their order of preference.
         rank = F.array_position(F.array(*(F.lit(x) for x in node.languages)), found.col(".lang"))
         key, value = found.col(".s"), found.col(".value")

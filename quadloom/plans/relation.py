@@ -22,6 +22,8 @@ def column_name(variable: str) -> str:
 class V:
     kind: str
     nullable: bool = False
+    #: Of items, the classes that they can belong to, where a source knows them.
+    classes: frozenset[int] | None = None
 
 
 @dataclass

@@ -43,8 +43,8 @@ class Source:
         """All subjects and objects, once each, as .s."""
         raise NotImplementedError
 
-    def labels(self, what: str, languages: list[str]) -> Rel:
-        """.s, .lang, .value of the labels, descriptions or aliases in these languages."""
+    def labels(self, what: str, languages: list[str], classes: frozenset[int] | None = None) -> Rel:
+        """.s, .lang, .value of the labels, descriptions or aliases in these languages, of subjects of these classes where a source knows them."""
         raise NotImplementedError
 
 

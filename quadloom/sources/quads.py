@@ -141,6 +141,6 @@ class QuadSource(Source):
         both = reduce(DataFrame.unionByName, [self.quads.select(F.col(c).alias("n")) for c in ("s", "o")])
         return Rel(both.where("n is not null").distinct(), {}).select({".s": (F.col("n"), V("term"))})
 
-    def labels(self, what: str, languages: list[str]) -> Rel:
+    def labels(self, what: str, languages: list[str], classes: frozenset[int] | None = None) -> Rel:
         q = self.quads.where((F.col("pkey") == what) & F.col("p.s").isin(languages))
         return Rel(q, {}).select({".s": (F.col("s"), V("term")), ".lang": (F.col("p.s"), V("string")), ".value": (F.col("o.s"), V("string"))})

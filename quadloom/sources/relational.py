@@ -9,7 +9,7 @@ its columns, and only the columns that are asked for are read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,7 +148,7 @@ class RelationalSource(Source):
                 a, ka = out[x.name][0], out[x.name][1].kind
                 tests.append(a == value if ka == kind else F.lit(False))
             else:
-                out[x.name] = (value, V(kind))
+                out[x.name] = (value, V(kind, classes=frozenset({c.cls}) if kind == "item" and isinstance(c, Column_) else None))
         if tests:
             df = df.where(reduce(lambda a, b: a & b, tests))
         return Rel(df, {}).select(out)
@@ -158,12 +158,13 @@ class RelationalSource(Source):
     def stars(self, triples: list[L.Triple]) -> list[Part]:
         statements = {t.o for t in triples if isinstance(t.p, L.Link) and predicate(t.p.iri)[0] == "statement"}
         statements |= {t.s for t in triples if isinstance(t.p, L.Link) and predicate(t.p.iri)[0] in ("value", "qualifier")}
+        classes = self._classes(triples)
         stars: dict[object, list[L.Triple]] = {}
         of_statement: dict[object, list[L.Triple]] = {}
         parts = []
         for t in triples:
             if isinstance(t.p, L.Var):
-                parts.append(Part(isinstance(t.s, T.Const) + isinstance(t.o, T.Const), lambda t=t: self._wildcard(t)))
+                parts.append(Part(isinstance(t.s, T.Const) + isinstance(t.o, T.Const), lambda t=t: self._wildcard(t, classes.get(t.s))))
             elif predicate(t.p.iri)[0] == "statement":
                 of_statement.setdefault(t.o, []).append(t)
             elif t.s in statements or isinstance(t.s, T.Const) and t.s.kind == "stmt":
@@ -171,19 +172,53 @@ class RelationalSource(Source):
             else:
                 stars.setdefault(t.s, []).append(t)
         count = lambda own: sum(isinstance(x, T.Const) for t in own for x in (t.s, t.o))
-        parts += [Part(count(own), lambda s=s, own=own: self._star(s, own)) for s, own in stars.items()]
+        parts += [Part(count(own), lambda s=s, own=own: self._star(s, own, classes.get(s))) for s, own in stars.items()]
         parts += [Part(count(own), lambda s=s, own=own: self._statement(s, own)) for s, own in of_statement.items()]
         return parts
 
+    def _classes(self, triples: list[L.Triple]) -> dict[object, set[int]]:
+        """The classes that each variable can have, from all triples of the pattern, so that no other table is read."""
+        out: dict[object, set[int]] = {}
+
+        def of(x: object) -> set[int]:
+            if isinstance(x, T.Const):
+                return {int(x.value) % BASE} if x.kind == "item" else set()
+            return out.get(x, {v.cls for v in self.schema})
+
+        before = None
+        while before != out:
+            before = {x: set(c) for x, c in out.items()}
+            for t in triples:
+                if not isinstance(t.p, L.Link):
+                    continue
+                view, name = predicate(t.p.iri)
+                columns: list[Column_] = []
+                if view in ("direct", "label"):
+                    holders = [v for v in self.schema if v.cls in of(t.s) and self._holds(v, view, name, t.o)]
+                    if isinstance(t.s, L.Var) and holders:
+                        out[t.s] = of(t.s) & {v.cls for v in holders}
+                    if view == "direct" and name != INSTANCE_OF:
+                        columns = [v.value if isinstance(v, Links) else v.properties[name] for v in holders]
+                elif view == "statement":
+                    owners = {v.cls for v in self.schema if name in ({v.property} if isinstance(v, Links) else v.properties)}
+                    if isinstance(t.s, L.Var) and owners:
+                        out[t.s] = of(t.s) & owners
+                elif view in ("value", "qualifier"):
+                    columns = [c for v in self.schema for n, c in ({v.property: v.value} if isinstance(v, Links) else v.properties if view == "value" else {}).items() if view == "value" and n == name]
+                    columns += [v.qualifiers[name] for v in self.schema if view == "qualifier" and isinstance(v, Links) and name in v.qualifiers]
+                if isinstance(t.o, L.Var) and columns and all(c.kind == "item" for c in columns):
+                    out[t.o] = of(t.o) & {c.cls for c in columns}
+        return out
+
     def _nothing(self, triples: list[L.Triple]) -> Rel:
         names = dict.fromkeys(n for t in triples for n in sorted(L.variables((t.s, t.o))))
         return empty(self.spark, {n: V("item") for n in names})
 
-    def _star(self, s: object, triples: list[L.Triple]) -> Rel:
+    def _star(self, s: object, triples: list[L.Triple], possible: set[int] | None = None) -> Rel:
         """All direct triples of a subject: for each class that has all their properties, a scan of each table involved."""
         if isinstance(s, T.Const) and s.kind != "item":
             return self._nothing(triples)
-        classes = {v.cls for v in self.schema}
+        classes = {v.cls for v in self.schema} if possible is None else set(possible)
         if isinstance(s, T.Const):
             classes &= {int(s.value) % BASE} if int(s.value) >= BASE else set()
         found: list[Rel] = []
@@ -211,7 +246,10 @@ class RelationalSource(Source):
                 found.append(reduce(joins.join, rels))
         if not found:
             return self._nothing(triples)
-        return reduce(joins.union, found)
+        rel = reduce(joins.union, found)
+        if isinstance(s, L.Var):
+            rel.vars[s.name] = replace(rel.vars[s.name], classes=frozenset(classes))
+        return rel
 
     def _holds(self, v: Entities | Links, view: str, name: object, o: object) -> bool:
         if isinstance(v, Links):
@@ -270,20 +308,20 @@ class RelationalSource(Source):
         rows = self._rows(v).select(self._key(v).value().alias("s"), F.explode(F.array(*pairs)).alias("e"))
         return rows.select("s", "e.p", "e.o").where("o is not null")
 
-    def _all(self, subject: object = None, statements: bool = False) -> DataFrame:
-        views = [v for v in self.schema if not (isinstance(subject, T.Const) and (subject.kind != "item" or int(subject.value) % BASE != v.cls))]
+    def _all(self, subject: object = None, statements: bool = False, possible: set[int] | None = None) -> DataFrame:
+        views = [v for v in self.schema if (possible is None or v.cls in possible) and not (isinstance(subject, T.Const) and (subject.kind != "item" or int(subject.value) % BASE != v.cls))]
         frames = []
         for v in views:
             df = self._facts(v, statements)
             frames.append(df.where(F.col("s") == int(subject.value)) if isinstance(subject, T.Const) else df)
         return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], f"s bigint, p {T.TERM}, o {T.TERM}")
 
-    def _wildcard(self, t: L.Triple) -> Rel:
+    def _wildcard(self, t: L.Triple, possible: set[int] | None = None) -> Rel:
         """Direct facts; statements too if the subject is constant, only they if the object is a statement."""
         to_statement = isinstance(t.o, T.Const) and t.o.kind == "stmt"
-        frames = [] if to_statement else [self._all(t.s)]
+        frames = [] if to_statement else [self._all(t.s, possible=possible)]
         if to_statement or isinstance(t.s, T.Const):
-            frames.append(self._all(t.s, statements=True))
+            frames.append(self._all(t.s, statements=True, possible=possible))
         df = reduce(DataFrame.unionByName, frames)
         if isinstance(t.o, T.Const):
             number = t.o.kind in T.NUMERIC
@@ -315,8 +353,8 @@ class RelationalSource(Source):
         both = df.select(T.to_term(F.col("s"), "item").alias("n")).unionByName(df.select(F.col("o").alias("n"))).distinct()
         return Rel(both, {}).select({".s": (F.col("n"), V("term"))})
 
-    def labels(self, what: str, languages: list[str]) -> Rel:
-        frames = [self._rows(v).select(self._key(v).value().alias("s"), F.lit("en").alias("lang"), F.col(v.label).alias("value")) for v in self.schema if isinstance(v, Entities) and v.label and what == "label" and "en" in languages]
+    def labels(self, what: str, languages: list[str], classes: frozenset[int] | None = None) -> Rel:
+        frames = [self._rows(v).select(self._key(v).value().alias("s"), F.lit("en").alias("lang"), F.col(v.label).alias("value")) for v in self.schema if isinstance(v, Entities) and v.label and what == "label" and "en" in languages and (classes is None or v.cls in classes)]
         df = reduce(DataFrame.unionByName, frames).where("value is not null") if frames else self.spark.createDataFrame([], "s bigint, lang string, value string")
         return Rel(df, {}).select({".s": (F.col("s"), V("item")), ".lang": (F.col("lang"), V("string")), ".value": (F.col("value"), V("string"))})
 

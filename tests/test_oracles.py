@@ -53,3 +53,9 @@ def test_plan_is_one_scan_for_a_statement(spark):
 def test_constants_reach_the_scan(spark):
     plan = QUERIES["lookup_subject"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_custkey,1)" in plan
+
+
+@pytest.mark.parametrize(("name", "tables"), [("region_customers", {"customer", "nation", "region"}), ("wildcard_predicates", {"customer"}), ("supplier_nations", {"lineitem", "supplier", "nation"}), ("label_service", {"nation", "region"})])
+def test_only_tables_of_possible_classes_are_read(spark, name, tables):
+    read = QUERIES[name](spark, FOLDER).inputFiles()
+    assert {t for t in TABLES if any(f"/{t}.parquet" in f for f in read)} == tables
