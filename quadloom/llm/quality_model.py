@@ -12,6 +12,14 @@ mean by ``PRIOR`` bytes so that very short texts are not judged by chance. It is
 rejected above a quantile of the trusted documents' perplexities of its language,
 times ``MARGIN``.
 
+A few toxic words in good prose don't move that average. A second model of each
+language is therefore trained on the texts labelled toxic, and each token is
+compared under both: what its log probability under the toxic model exceeds that
+under the trusted one by, above ``EXCESS`` and up to ``MOST_EXCESS``, is summed.
+The sum for each byte, drawn towards the language's mean by ``CONTRAST_PRIOR``
+bytes, is the document's contrast, and it is rejected above the geometric mean of
+the ``QUANTILE`` of the trusted and the ``TOXIC_QUANTILE`` of the toxic documents.
+
 For scoring, the finished table is divided into shards by language and last byte of the
 context, which are all that the places with that byte need; each shard has
 a bounded number of rows, is joined as a broadcast array, and adds its part to
@@ -31,9 +39,13 @@ ORDER = 5
 PRIOR = 60
 QUANTILE = 0.99
 MARGIN = 1.15
+EXCESS = 2.0
+MOST_EXCESS = 6.0
+CONTRAST_PRIOR = 1000
+TOXIC_QUANTILE = 0.1
 #: Rows of the model that are broadcast at once (16 bytes each).
 SHARD_ROWS = 4_000_000
-#: Ids of trusted documents are broadcast up to so many.
+#: Ids of trusted and toxic documents are broadcast up to so many.
 MAX_BROADCAST_IDS = 2_000_000
 
 # An n-gram of n symbols is the integer of its bytes, the latest lowest, with n above them.
@@ -41,6 +53,9 @@ MAX_BROADCAST_IDS = 2_000_000
 _BEGIN, _END = 2, 3
 _LEN = 8 * (ORDER + 1)
 
+#: Follows the language's name in that of its toxic model.
+_TOXIC = "\x01toxic"
+
 
 def _pack(n: int) -> np.uint64:
     return np.uint64(n << _LEN)
@@ -231,9 +246,21 @@ def shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list[Shard]:
     return result
 
 
+def _excess(ratio: np.ndarray) -> np.ndarray:
+    """What counts of tokens' log probability ratios of the toxic to the trusted model."""
+    return np.clip(ratio - EXCESS, 0, MOST_EXCESS)
+
+
 def scores(texts: DataFrame, parts: list[Shard]) -> DataFrame:
-    """(doc_id, lang, n_bytes, loglik, trusted) of each row of texts(doc_id, text, lang, trusted); loglik is null without a model of the language."""
+    """(doc_id, lang, row, n_bytes, loglik, excess) of each row of texts(doc_id, text, lang, row); loglik is null without a model of the language, excess without both.
+
+    A token's ratio needs the places of all shards, so with several each gives
+    its part of every token's ratio, and the sums are cut off afterwards.
+    """
     context = texts.sparkSession.sparkContext
+    names = set().union(*(s.langs for s in parts))
+    both = {x for x in names if x + _TOXIC in names}
+    single = len(parts) == 1
 
     def scorer(held):
         def run(batches):
@@ -246,49 +273,69 @@ def scores(texts: DataFrame, parts: list[Shard]) -> DataFrame:
                         t = TokenGrams(*A.as_bytes(own.column(1)))
                         n = np.bincount(t.text, (t.size + 1)[t.token], own.num_rows).astype(np.int64)
                         known = lang in shard.langs
-                        total = np.bincount(t.text, shard.score(t, lang)[t.token], own.num_rows) if known else np.zeros(own.num_rows)
-                        yield pa.record_batch([own.column(0), own.column(2), own.column(3), pa.array(n), pa.array(total, mask=np.full(own.num_rows, not known))], names=["doc_id", "lang", "row", "n_bytes", "loglik"])
+                        token = shard.score(t, lang) if known else np.zeros(len(t.size))
+                        total = np.bincount(t.text, token[t.token], own.num_rows).astype(float)  # without words, counts are integers
+                        compared = lang in both
+                        ratio = (shard.score(t, lang + _TOXIC) if compared and lang + _TOXIC in shard.langs else 0) - token
+                        if single:
+                            excess = pa.array(np.bincount(t.text, _excess(ratio)[t.token], own.num_rows).astype(float), mask=np.full(own.num_rows, not compared))
+                        elif compared:
+                            ends = np.concatenate(([0], np.cumsum(np.bincount(t.text, minlength=own.num_rows)))).astype(np.int32)
+                            excess = pa.ListArray.from_arrays(ends, pa.array(ratio[t.token].astype(np.float32)))
+                        else:
+                            excess = pa.nulls(own.num_rows, pa.list_(pa.float32()))
+                        yield pa.record_batch([own.column(0), own.column(2), own.column(3), pa.array(n), pa.array(total, mask=np.full(own.num_rows, not known)), excess], names=["doc_id", "lang", "row", "n_bytes", "loglik", "excess"])
 
         return run
 
-    schema = "doc_id bigint, lang string, row string, n_bytes bigint, loglik double"
+    schema = f"doc_id bigint, lang string, row string, n_bytes bigint, loglik double, excess {'double' if single else 'array<float>'}"
     frames = [texts.select("doc_id", "text", "lang", "row").mapInArrow(scorer(context.broadcast(s)), schema) for s in parts]
-    if len(frames) == 1:
+    if single:
         return frames[0]
     every = frames[0]
     for f in frames[1:]:
         every = every.unionByName(f)
     # Rows that repeat an id with another text are told apart by row, equal ones by their number.
-    return every.groupBy("doc_id", "lang", "row").agg((F.sum("n_bytes") / len(frames)).cast("bigint").alias("n_bytes"), F.sum("loglik").alias("loglik"), (F.count(F.lit(1)) / len(frames)).cast("int").alias("times")).withColumn("loglik", F.col("loglik") / F.col("times")).withColumn("n_bytes", F.expr("n_bytes div times")).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
+    every = every.groupBy("doc_id", "lang", "row").agg((F.sum("n_bytes") / len(frames)).cast("bigint").alias("n_bytes"), F.sum("loglik").alias("loglik"), F.collect_list("excess").alias("excess"), (F.count(F.lit(1)) / len(frames)).cast("int").alias("times"))
+    ratios = "aggregate(slice(excess, 2, size(excess) - 1), excess[0], (a, b) -> zip_with(a, b, (x, y) -> x + y))"
+    excess = f"if(size(excess) = 0, null, aggregate({ratios}, 0D, (a, r) -> a + least(greatest(r / times - {EXCESS}D, 0D), {MOST_EXCESS}D)))"
+    return every.withColumn("excess", F.expr(excess)).withColumn("loglik", F.col("loglik") / F.col("times")).withColumn("n_bytes", F.expr("n_bytes div times")).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, keep for each row with an id.
+    """doc_id, lang, n_bytes, perplexity, threshold, contrast, contrast_threshold, keep for each row with an id.
 
-    labels(doc_id, quality, toxic) name the trusted texts: quality 1, toxic not
-    1; other labels, nulls and unknown ids are ignored. A null language counts
+    labels(doc_id, quality, toxic) name the trusted texts (quality 1, toxic not
+    1) and the toxic ones (toxic 1, and no label of the same id that makes it trusted);
+    other labels, nulls and unknown ids are ignored. A null language counts
     as ''. A language without trusted text has no model: perplexity and threshold are
-    null and keep is true. Null and empty texts have the perplexity of the prior
+    null and keep is true; without toxic text the contrast is null. Null and empty texts have the perplexity of the prior
     and are kept. An empty table gives no rows; repeated rows are each judged.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) <> 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    good = A.session_checkpoint(good)
-    if good.count() <= MAX_BROADCAST_IDS:
-        good = F.broadcast(good)
+    good = F.expr("coalesce(quality = 1, false) and coalesce(toxic, 0) <> 1")
+    named = labels.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), good.alias("good"), F.expr("coalesce(toxic = 1, false)").alias("toxic"))
+    named = A.session_checkpoint(named.where("good or toxic").groupBy("doc_id").agg(F.max("good").alias("trusted")))
+    if named.count() <= MAX_BROADCAST_IDS:
+        named = F.broadcast(named)
     texts = A.ids_and_texts(docs, id_col, text_col, lang_col, "lang").fillna("", ["lang"])
-    trusted = texts.join(good, "doc_id", "left_semi")
-    parts = shards(estimate(counts(trusted)), shard_rows)
+    model = F.when(F.col("trusted"), F.col("lang")).otherwise(F.concat("lang", F.lit(_TOXIC)))
+    parts = shards(estimate(counts(texts.join(named, "doc_id").select("doc_id", "text", model.alias("lang")))), shard_rows)
     row = F.lit(None).cast("string") if len(parts) == 1 else F.sha2(F.coalesce("text", F.lit("")), 256)
-    x = A.session_checkpoint(scores(texts.withColumn("row", row), parts).select("doc_id", "lang", "n_bytes", "loglik"))
-    marked = x.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    prior = marked.where("trusted").groupBy("lang").agg((F.sum("loglik") / F.sum("n_bytes")).alias("mean"))
+    x = A.session_checkpoint(scores(texts.withColumn("row", row), parts).select("doc_id", "lang", "n_bytes", "loglik", "excess"))
+    marked = x.join(named, "doc_id", "left")
+    prior = marked.where("trusted").groupBy("lang").agg((F.sum("loglik") / F.sum("n_bytes")).alias("mean"), (F.sum("excess") / F.sum("n_bytes")).alias("excess_mean"))
     prior = A.session_checkpoint(prior)  # one row a language, as are the thresholds
     perplexity = F.exp(-(F.col("loglik") + PRIOR * F.col("mean")) / (F.col("n_bytes") + PRIOR))
-    marked = marked.join(F.broadcast(prior), "lang", "left").withColumn("perplexity", perplexity)
-    limits = A.session_checkpoint(marked.where("trusted").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("threshold")))
+    contrast = (F.col("excess") + CONTRAST_PRIOR * F.col("excess_mean")) / (F.col("n_bytes") + CONTRAST_PRIOR)
+    marked = marked.join(F.broadcast(prior), "lang", "left").withColumn("perplexity", perplexity).withColumn("contrast", contrast)
+    of = lambda name, share, trusted: F.percentile_approx(F.when(F.col("trusted") == trusted, F.col(name)), share, 10000)
+    limits = marked.where("trusted is not null").groupBy("lang").agg((of("perplexity", quantile, True) * margin).alias("threshold"), of("contrast", quantile, True).alias("high"), of("contrast", TOXIC_QUANTILE, False).alias("low"))
+    # Between the two; not below the trusted quantile, and not 0 where no trusted document has an excess.
+    between = F.when(F.col("low").isNotNull(), F.greatest(F.sqrt(F.col("high") * F.col("low")), F.col("high"), F.col("low") / 10))
+    limits = A.session_checkpoint(limits.select("lang", "threshold", between.alias("contrast_threshold")))
     out = marked.join(F.broadcast(limits), "lang", "left")
-    keep = F.coalesce((F.col("perplexity") <= F.col("threshold")) | (F.col("n_bytes") == 0), F.lit(True))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", keep.alias("keep"))
+    ordinary = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("contrast") <= F.col("contrast_threshold"), F.lit(True))
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "contrast", "contrast_threshold", (ordinary | (F.col("n_bytes") == 0)).alias("keep"))
 
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

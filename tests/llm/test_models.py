@@ -195,6 +195,30 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert kept.count() == 120
 
 
+@pytest.mark.parametrize("shard_rows", [quality_model.SHARD_ROWS, 400])
+def test_toxic_words_in_good_prose_are_rejected(spark, shard_rows):
+    """Words of ordinary syllables, so that only how often toxic texts use them gives them away."""
+    insults = ["retionno", "nothere", "theretion"]
+
+    def insulting(k):
+        w = prose(k, 6).split(" ")
+        for j in range(6):
+            w.insert(random.Random(10 * k + j).randrange(len(w)), insults[(k + j) % 3])
+        return " ".join(w)
+
+    rows = [(k, prose(k, 6), "en", "a") for k in range(120)] + [(500 + k, insulting(500 + k), "en", "a") for k in range(40)]
+    labels = [(k, 1, 0) for k in range(60)] + [(500 + k, k % 2, 1) for k in range(20)]
+    out = quality_model.judge(brute.table(spark, rows), labels_of(spark, labels), shard_rows=shard_rows).collect()
+    gone = {x.doc_id for x in out if not x.keep}
+    assert gone >= {520 + k for k in range(20)} and len(gone & set(range(60, 120))) <= 1
+    ratio = {name: kneser_ney([t for i, t, *_ in rows if i in ids], quality_model.ORDER) for name, ids in (("good", set(range(60))), ("toxic", set(range(500, 520))))}
+    excess = lambda text: sum(min(max(ratio["toxic"](w)[0] - ratio["good"](w)[0] - quality_model.EXCESS, 0), quality_model.MOST_EXCESS) for w in text.split())
+    mean = sum(excess(t) for i, t, *_ in rows if i < 60) / sum(x.n_bytes for x in out if x.doc_id < 60)
+    for x in out:
+        want = (excess(dict((i, t) for i, t, *_ in rows)[x.doc_id]) + quality_model.CONTRAST_PRIOR * mean) / (x.n_bytes + quality_model.CONTRAST_PRIOR)
+        assert math.isclose(x.contrast, want, rel_tol=1e-3, abs_tol=1e-6)
+
+
 def test_perplexity_edges(spark):
     none = labels_of(spark, [])
     assert quality_model.judge(brute.table(spark, []), none).count() == 0
