@@ -4,7 +4,7 @@ Each text gives a vector of transformed statistics (``STATISTICS``). For each
 (language, source) the location and scatter of the vectors are estimated by a
 deterministic MCD: three robust starting scatters (MAD scales with the
 correlations of tanh scores, of spatial signs, and none), then concentration
-steps on the h = 75 % of rows with the smallest distances, the start with the
+steps on the h = 50 % of rows with the smallest distances, the start with the
 smallest determinant, a reweighting step. A document is rejected if its squared
 Mahalanobis distance is above ``CUTOFF``.
 
@@ -34,7 +34,8 @@ STATISTICS = ("word_length", "symbols", "punctuation", "capitals", "repetition")
 RESOLUTION = (0.08, 0.05, 0.05, 0.05, 0.06)
 D = len(STATISTICS)
 MIN_GROUP = 60
-SHARE = 0.75
+#: Share of a group that the steps concentrate on; the fit breaks down once more than the rest is junk.
+SHARE = 0.5
 STEPS = 3
 #: Chance with which a normal vector is rejected.
 FALSE_REJECTS = 1e-6

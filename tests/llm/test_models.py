@@ -44,6 +44,13 @@ def test_quality_rules_equal_numpy(spark):
     assert {i for i, r in got.items() if not r.keep} == junk
 
 
+@pytest.mark.parametrize("kind", ["marks", "upper"])
+def test_quality_rules_hold_where_much_of_a_group_is_junk(spark, kind):
+    rows = [(k, prose(k, random.Random(k).randint(2, 12), kind if k % 5 < 2 else "clean"), "en", "a") for k in range(200)]
+    got = quality_rules.judge(brute.table(spark, rows)).collect()
+    assert {r.doc_id for r in got if not r.keep} == {k for k in range(200) if k % 5 < 2}
+
+
 def test_quality_accept_equals_judge(spark):
     docs = brute.table(spark, rules_table(spark) + brute.messy())
     kept = quality_rules.accept(docs)
