@@ -11,6 +11,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadloom.llm import decontaminate, minhash, mixing, quality_rules, sharding
 
@@ -36,8 +37,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with region, rack and shard."""
-    return sharding.assign(docs)
+    """Documents with region, rack and shard, and slot and position in the mix.
+
+    Files are not read in the order they were written in, so the place is worked
+    out again; it follows from the ids and sources alone.
+    """
+    return mixing.placed(sharding.assign(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -53,7 +58,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each result written and read again."""
+    """The stages one after the other over documents, each result written and read again; the rows are in the order of the mix.
+
+    The last stage's files keep slot and position, the result has only the order.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-pipeline-")
     path = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -61,4 +69,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/pipeline-{path}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
-    return docs
+    return docs.orderBy("slot", F.coalesce("source", F.lit("")), "position").drop("slot", "position")

@@ -112,12 +112,23 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     return r.select("doc_id", "source", F.col("block").cast("bigint").alias("block"), place("release0").alias("release"), place("deadline0").alias("deadline"), place("slot0").alias("slot"), F.col("position").cast("int").alias("position"))
 
 
+def _with_place(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, block_docs: int, period: int) -> DataFrame:
+    """docs with __ql_place(slot, source, position); rows that share (id, source) have the first of their places."""
+    places = mix(docs, weights, id_col, source_col, block_docs, period)
+    places = places.groupBy(F.col("doc_id").alias("__ql_id"), F.col("source").alias("__ql_source")).agg(F.min(F.struct("slot", "source", "position")).alias("__ql_place"))
+    same = docs[id_col].cast("bigint").eqNullSafe(F.col("__ql_id")) & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == F.col("__ql_source"))
+    return docs.join(places, same, "left")
+
+
+def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """docs, all rows, with slot and position; (slot, source, position) is the mix. Columns of docs that bear these names are replaced."""
+    own = (F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "position"))
+    return _with_place(docs, weights, id_col, source_col, block_docs, period).select(*own, F.col("__ql_place.slot").alias("slot"), F.col("__ql_place.position").alias("position"))
+
+
 def reorder(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """docs, all columns and rows, sorted into the mix.
 
     Rows that share (id, source) take the first of their places.
     """
-    places = mix(docs, weights, id_col, source_col, block_docs, period)
-    places = places.groupBy(F.col("doc_id").alias("__ql_id"), F.col("source").alias("__ql_source")).agg(F.min(F.struct("slot", "source", "position")).alias("__ql_place"))
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("__ql_id")) & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == F.col("__ql_source"))
-    return docs.join(places, same, "left").orderBy("__ql_place").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _with_place(docs, weights, id_col, source_col, block_docs, period).orderBy("__ql_place").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -245,3 +245,20 @@ def test_mix_stage_is_in_the_mix_order(spark, tmp_path):
     got = [x.doc_id for x in spark.read.parquet(f"{tmp_path}/mix").collect()]
     place = {x.doc_id: (x.slot, x.source, x.position) for x in mixing.mix(docs).collect()}
     assert got == sorted(got, key=place.get)
+
+
+def test_run_is_in_the_mix_order_with_files_of_different_sizes(spark, tmp_path):
+    size = lambda k: 2 + (k // 20) ** 2
+    rows = [(k, ". ".join(brute.words_text(random.Random(10_000 * k + j), 12).capitalize() for j in range(size(k))) + ".", "en", "aaab"[k % 4]) for k in range(400)]
+    spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x y z")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = corpus_pipeline.run(spark, str(tmp_path))
+        got = [x.doc_id for x in docs.collect()]
+        docs = docs.localCheckpoint()
+        place = {x.doc_id: (x.slot, x.source, x.position) for x in mixing.mix(docs).collect()}
+        kept = {x.doc_id: (x.slot, x.source, x.position) for x in corpus_pipeline.assign_shards(spark, docs, "").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) > 300 and got == sorted(got, key=place.get) and kept == place
