@@ -7,11 +7,15 @@ few numpy passes over it, without a Python object per word.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +77,10 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Scripts that put no spaces between words, as ranges of code points: each of these characters is a word of its own.
+SPACELESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
 def fold(raw: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and for two-byte Latin-1 letters; byte lengths never change."""
     low = _LOWER[raw]
@@ -82,6 +90,33 @@ def fold(raw: np.ndarray) -> np.ndarray:
     return low
 
 
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """as_bytes() in lower case, in any script. Bytes may move, but each code point stays one code point."""
+    raw, offsets = as_bytes(column)
+    if not len(raw) or raw.max() < 0xC4:
+        return fold(raw), offsets
+    return as_bytes(pc.utf8_lower(column))
+
+
+def spaceless(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions and sizes of the characters of SPACELESS."""
+    at = np.flatnonzero(raw >= 0xE0)
+    if not len(at):
+        return at, at
+    four = raw[at] >= 0xF0
+    wide = np.append(raw, np.zeros(3, np.uint8)).astype(np.uint32) & 0x3F
+    code = np.where(four, ((wide[at] & 7) << 18) | (wide[at + 1] << 12) | (wide[at + 2] << 6) | wide[at + 3], ((wide[at] & 15) << 12) | (wide[at + 1] << 6) | wide[at + 2])
+    some = np.zeros(len(at), bool)
+    for a, b in SPACELESS:
+        some |= (code >= a) & (code <= b)
+    return at[some], np.where(four[some], 4, 3)
+
+
+def spaceless_class() -> str:
+    """SPACELESS as the inside of a character class of RE2."""
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in SPACELESS)
+
+
 def _blocks(raw: np.ndarray, inside: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about BLOCK_BYTES that cut no word."""
     n, at = len(raw), 0
@@ -100,7 +135,7 @@ def _blocks(raw: np.ndarray, inside: np.ndarray, breaks: np.ndarray) -> Iterator
 
 
 class Words:
-    """Words of consecutive texts.
+    """Words of consecutive texts: runs of bytes of ``inside``, cut at each character of SPACELESS.
 
     start, end: byte positions; hash: 64 bits, equal for equal folded bytes;
     first: n + 1 positions in these arrays, at which each text's words begin.
@@ -108,6 +143,8 @@ class Words:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IS_WORD, folded: np.ndarray | None = None, hashed: bool = True):
         low = fold(raw) if folded is None else folded
+        at, size = spaceless(raw)
+        alone = np.union1d(at, at + size)
         parts: list[tuple[np.ndarray, ...]] = []
         for a, b in _blocks(raw, inside, offsets):
             is_in = np.zeros(b - a + 2, bool)
@@ -115,6 +152,7 @@ class Words:
             edge = np.zeros(b - a + 1, bool)
             cut = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
             edge[cut] = True
+            edge[alone[np.searchsorted(alone, a) : np.searchsorted(alone, b, "right")] - a] = True
             start = np.flatnonzero(is_in[1:-1] & (~is_in[:-2] | edge[:-1]))
             end = np.flatnonzero(is_in[1:-1] & (~is_in[2:] | edge[1:])) + 1
             if hashed:
@@ -174,15 +212,47 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only in local mode, where one machine has all files."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="quadloom-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return where
+
+
 def session_checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """df.checkpoint() into the folder of the session."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="quadloom-checkpoint-")  # local runs and tests only: clusters name a shared folder
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+class Sums:
+    """Running sums over the hashes of words, from which the digest of any run of words follows at once."""
+
+    _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+    _held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes) + 1
+        self.sums = []
+        for k, base in enumerate(self._BASES):
+            if k not in self._held or len(self._held[k][0]) < n:
+                both = []
+                for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+                    a = np.full(max(n, 1 << 20), b, np.uint64)
+                    a[0] = 1
+                    both.append(np.multiply.accumulate(a))
+                self._held[k] = (both[0], both[1])
+            total = np.zeros(n, np.uint64)
+            np.cumsum((mix(hashes + np.uint64(k)) if k else hashes) * self._held[k][0][: n - 1], out=total[1:])
+            self.sums.append(total)
+
+    def digest(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """64 bits, number k of 2, of the words from a up to b."""
+        return mix((self.sums[k][b] - self.sums[k][a]) * self._held[k][1][a] + (b - a).astype(np.uint64))

@@ -1,13 +1,13 @@
 """Line dedup with a deletion-neighbourhood join.
 
 Lines are compared by their normalised words (case folded, cut at white space)
-and the Levenshtein distance counts whole words. Lines of ``MIN_WORDS`` words or
-more are near copies within ``EDITS`` = 1 inserted, deleted or replaced word;
-shorter lines only if equal. Each line emits itself and itself without each one
+and the Levenshtein distance counts whole words. Lines of ``min_words`` words or
+more are near copies within one inserted, deleted or replaced word; shorter lines,
+of which one word is much, only if equal. Each line emits itself and itself without each one
 of its words as hashed keys; equal keys are joined, and the distance is verified:
 two lines that share a variant are one edit apart if one of them is the variant
 itself or both lost the word at the same place. A line goes if an earlier line,
-by (id, line number), is within the bound.
+by (id, text key, line number), is within the bound.
 
 Two steps keep the join small without losing a pair. Equal lines are collapsed
 first. Then a line only emits variants if it can have a partner: one edit leaves
@@ -19,19 +19,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
 
-EDITS = 1
 MIN_WORDS = 5
 
 _Q = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_LINES = "h1 bigint, h2 bigint, doc_id bigint, line_no int, n_words int, keys array<bigint>"
-_FIRSTS = _LINES + ", first_doc_id bigint, first_line_no int"
-_VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, line_no int, tag int"
-_NEAR = "doc_id bigint, line_no int, tag int, best_doc_id bigint, best_line_no int"
+_LINES = "h1 bigint, h2 bigint, doc_id bigint, text_key int, line_no int, n_words int, keys array<bigint>"
+_FIRSTS = _LINES + ", first_doc_id bigint, first_text_key int, first_line_no int"
+_VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, text_key int, line_no int"
+_NEAR = "doc_id bigint, text_key int, line_no int, best_doc_id bigint, best_text_key int, best_line_no int"
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -54,7 +53,7 @@ class _Lines:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         cuts = np.union1d(offsets[:-1], np.flatnonzero(raw == 10) + 1)
         cuts = cuts[cuts < offsets[-1]]
-        words = A.Words(raw, offsets, A.IS_TOKEN)
+        words = A.Words(raw, offsets, A.IS_TOKEN, folded=raw)
         self.word = words.hash
         at = np.searchsorted(words.start, np.append(cuts, offsets[-1]))
         doc = np.searchsorted(offsets, cuts, "right") - 1
@@ -85,10 +84,10 @@ class _Lines:
         total, back = self.sums[0], _power(0, len(self.word) + 2)[1]
         return A.mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * _Q[1] + np.uint64(salt))
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key): first and last halves of the lines of MIN_WORDS or more, for half the words rounded down and for
+    def halves(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key): first and last halves of the lines of min_words or more, for half the words rounded down and for
         half of one word less, as a line has to meet lines of one word more too."""
-        line = np.flatnonzero(self.n >= MIN_WORDS)
+        line = np.flatnonzero(self.n >= min_words)
         even = line[self.n[line] % 2 == 0]
         lines, keys = [], []
         for rows, half in ((line, self.n[line] // 2), (even, self.n[even] // 2 - 1)):
@@ -98,50 +97,54 @@ class _Lines:
         return np.concatenate(lines), np.concatenate(keys)
 
 
-def _line_rows(batches):
-    for batch in batches:
-        for part in A.chunks(batch, 1):
-            lines = _Lines(*A.as_bytes(part.column(1)))
-            line, key = lines.halves()
-            order = np.argsort(line, kind="stable")
-            offsets = np.searchsorted(line[order], np.arange(len(lines.n) + 1)).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
-            yield pa.record_batch([pa.array(lines.digest(0).view(np.int64)), pa.array(lines.digest(1).view(np.int64)), part.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.n.astype(np.int32)), keys], names=["h1", "h2", "doc_id", "line_no", "n_words", "keys"])
+def _line_rows(min_words: int):
+    def run(batches):
+        for batch in batches:
+            for part in A.chunks(batch, 1):
+                lines = _Lines(*A.folded(part.column(1)))
+                line, key = lines.halves(min_words)
+                order = np.argsort(line, kind="stable")
+                offsets = np.searchsorted(line[order], np.arange(len(lines.n) + 1)).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
+                doc = pa.array(lines.doc)
+                columns = [pa.array(lines.digest(0).view(np.int64)), pa.array(lines.digest(1).view(np.int64)), part.column(0).take(doc), part.column(2).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.n.astype(np.int32)), keys]
+                yield pa.record_batch(columns, names=["h1", "h2", "doc_id", "text_key", "line_no", "n_words", "keys"])
+
+    return run
 
 
 def _first_rows(batches):
-    """From rows sorted by (h1, h2, doc_id, line_no): each place with the first of its equal lines."""
-    last: tuple[int, int, int, int] | None = None
+    """From rows sorted by (h1, h2, doc_id, text_key, line_no): each place with the first of its equal lines."""
+    last: tuple[int, ...] | None = None
     before: tuple | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2, doc, line = (b.column(k).to_numpy() for k in range(4))
+        h1, h2, *place = (b.column(k).to_numpy() for k in range(5))
         new = np.ones(b.num_rows, bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         again = np.zeros(b.num_rows, bool)  # the same place twice: a repeated row
-        again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (line[1:] == line[:-1])
-        again[0] = before == (h1[0], h2[0], doc[0], line[0])
-        before = (h1[-1], h2[-1], doc[-1], line[-1])
+        again[1:] = ~new[1:] & np.logical_and.reduce([x[1:] == x[:-1] for x in place])
+        again[0] = before == (h1[0], h2[0], *(x[0] for x in place))
+        before = (h1[-1], h2[-1], *(x[-1] for x in place))
         start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
-        first_doc, first_line = doc[start], line[start]
+        first = [x[start] for x in place]
         if last and last[:2] == (h1[0], h2[0]):
-            first_doc[start == 0], first_line[start == 0] = last[2:]
-        last = (h1[-1], h2[-1], int(first_doc[-1]), int(first_line[-1]))
-        yield pa.record_batch([*b.columns, pa.array(first_doc), pa.array(first_line)], names=[*b.schema.names, "first_doc_id", "first_line_no"]).filter(pa.array(~again))
+            for x, v in zip(first, last[2:], strict=True):
+                x[start == 0] = v
+        last = (h1[-1], h2[-1], *(x[-1] for x in first))
+        yield pa.record_batch([*b.columns, *map(pa.array, first)], names=[*b.schema.names, "first_doc_id", "first_text_key", "first_line_no"]).filter(pa.array(~again))
 
 
 def _variant_rows(batches):
-    """From (doc_id, text, lines as (line_no, h1, h2)): the variants of those lines; place -1 is the line itself."""
+    """From (doc_id, text, text_key, line numbers): the variants of those lines; place -1 is the line itself."""
     for batch in batches:
         for part in A.chunks(batch, 1):
-            lines = _Lines(*A.as_bytes(part.column(1)))
-            wanted = part.column(2)
-            flat = wanted.flatten()
-            sizes = np.diff(np.asarray(wanted.offsets))
-            asked = {(t, n, h) for t, n, h in zip(np.repeat(np.arange(part.num_rows), sizes).tolist(), flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True)}
-            h1 = lines.digest(0).view(np.int64)
-            line = np.array([k for k, x in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), h1.tolist(), strict=True)) if x in asked], np.int64)
+            lines = _Lines(*A.folded(part.column(1)))
+            wanted = part.column(3)
+            text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(wanted.offsets)))
+            pack = lambda t, n: t.astype(np.int64) << 32 | n
+            line = np.flatnonzero(np.isin(pack(lines.doc, lines.number), pack(text, wanted.flatten().to_numpy())))
             if not len(line):
                 continue
             n = lines.n[line]
@@ -150,109 +153,108 @@ def _variant_rows(batches):
             word = lines.a[row] + place
             both = [np.concatenate([lines.digest(k, line), lines.without(k, row, word)]) for k in (0, 1)]
             row, place = np.concatenate([line, row]), np.concatenate([np.full(len(line), -1), place])
+            doc = pa.array(lines.doc[row])
             yield pa.record_batch(
-                [pa.array(both[0].view(np.int64)), pa.array((both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(place.astype(np.int32)), part.column(0).take(pa.array(lines.doc[row])), pa.array(lines.number[row].astype(np.int32)), pa.array(h1[row].astype(np.int32))],
-                names=["v1", "v2", "place", "doc_id", "line_no", "tag"],
+                [pa.array(both[0].view(np.int64)), pa.array((both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(place.astype(np.int32)), part.column(0).take(doc), part.column(2).take(doc), pa.array(lines.number[row].astype(np.int32))],
+                names=["v1", "v2", "place", "doc_id", "text_key", "line_no"],
             )
 
 
-def _runs(batches):
-    """Tables of whole runs of the first column from batches that are sorted by it; only runs of several rows."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def several(columns: tuple[np.ndarray, ...]):
-        key = columns[0]
-        same = key[1:] == key[:-1]
-        some = np.zeros(len(key), bool)
-        some[1:] |= same
-        some[:-1] |= same
-        return tuple(c[some] for c in columns)
-
+def _able_rows(batches):
+    """From (key, h1) sorted by both: the lines that share a key with another line. Holds one row of a key, however many it has."""
+    held: tuple[int, int] | None = None  # the last row, if it has met no other line of its key
+    last: tuple[int, int] | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        columns = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-        key = columns[0]
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-        if cut == 0 and held and held[-1][0][-1] == key[0]:
-            held.append(columns)
-            continue
-        done = [*held, tuple(c[:cut] for c in columns)]
-        yield several(tuple(np.concatenate(c) for c in zip(*done, strict=True)))
-        held = [tuple(c[cut:] for c in columns)]
-    if held:
-        yield several(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
-
-
-def _able_rows(batches):
-    """From (key, h1) sorted by key: the lines that share a key with another line."""
-    for key, h1 in _runs(batches):
-        order = np.lexsort((h1, key))
-        key, h1 = key[order], h1[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(key)))
-        mixed = h1[start] != h1[start + size - 1]
-        yield pa.record_batch([pa.array(np.unique(h1[np.repeat(mixed, size)]))], names=["h1"])
+        key, h1 = (b.column(k).to_numpy() for k in range(2))
+        if last is not None:
+            key, h1 = np.append(last[0], key), np.append(last[1], h1)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])
+        same = np.zeros(len(key) + 1, bool)  # the row before is another line of the same key
+        same[1:-1] = new[1:] & (key[1:] == key[:-1])
+        out = h1[same[:-1] | same[1:]]
+        last = (key[-1], h1[-1])
+        yield pa.record_batch([pa.array(np.unique(out))], names=["h1"])
 
 
 def _near_rows(batches):
-    """From variants sorted by v1: lines with an earlier line one edit away."""
-    for v1, v2, place, doc, number, tag in _runs(batches):
-        order = np.lexsort((number, doc, place, v2, v1))
-        v1, v2, place, doc, number, tag = (x[order] for x in (v1, v2, place, doc, number, tag))
-        if not len(v1):
+    """From variants sorted by all columns, the line itself first: lines with an earlier line one edit away.
+
+    A group of equal variants may go on in the next batch. Three of its rows are kept for that, however many it has:
+    the line that is the variant itself, the first row of the last place and the earliest row.
+    """
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
             continue
+        columns = [b.column(k).to_numpy() for k in range(6)]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        v1, v2 = columns[:2]
+        same = np.concatenate(([False], (v1[1:] == v1[:-1]) & (v2[1:] == v2[:-1]), [True]))
+        columns = [c[same[:-1] | same[1:]] for c in columns]  # the last row always stays
+        v1, v2, place, doc, key, number = columns
+        n = len(v1)
         group = np.cumsum(np.concatenate(([0], (v1[1:] != v1[:-1]) | (v2[1:] != v2[:-1]))))
         run = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (place[1:] != place[:-1]))))
         first_of_run = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         first_of_group = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         # For lines that are the variant themselves, the earliest of all places; the runs' firsts suffice.
-        by_rank = first_of_run[np.lexsort((number[first_of_run], doc[first_of_run], group[first_of_run]))]
+        by_rank = first_of_run[np.lexsort((number[first_of_run], key[first_of_run], doc[first_of_run], group[first_of_run]))]
         earliest = by_rank[np.concatenate(([True], group[by_rank][1:] != group[by_rank][:-1]))]
         best = first_of_run[run]
         whole = first_of_group[group]
         has_whole = place[whole] == -1
 
         def earlier(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (doc[a] < doc[b]) | ((doc[a] == doc[b]) & (number[a] < number[b]))  # noqa: B023
+            return (doc[a] < doc[b]) | (doc[a] == doc[b]) & ((key[a] < key[b]) | (key[a] == key[b]) & (number[a] < number[b]))  # noqa: B023
 
         best = np.where(has_whole & earlier(whole, best), whole, best)
         best = np.where(place == -1, earliest[group], best)
-        hit = np.flatnonzero(earlier(best, np.arange(len(best))))
-        yield pa.record_batch([pa.array(doc[hit]), pa.array(number[hit]), pa.array(tag[hit]), pa.array(doc[best[hit]]), pa.array(number[best[hit]])], names=["doc_id", "line_no", "tag", "best_doc_id", "best_line_no"])
+        hit = np.flatnonzero(earlier(best, np.arange(n)))
+        rank = (doc, key, number)
+        yield pa.record_batch([pa.array(x[k]) for k in (hit, best[hit]) for x in rank], names=["doc_id", "text_key", "line_no", "best_doc_id", "best_text_key", "best_line_no"])
+        keep = np.unique([*([whole[-1]] if has_whole[-1] else []), earliest[-1], first_of_run[-1]])
+        held = [c[keep] for c in columns]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The lines to remove: doc_id, line_no, first_doc_id, first_line_no, edits.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The lines to remove: doc_id, text_key, line_no, first_doc_id, first_line_no, edits.
 
-    first is the earliest line, by (id, line number), within the bound; edits is
-    0 if it is equal and 1 otherwise. Lines count from 0. Lines without a word
-    stay; null and empty texts and an empty table have none. Rows that repeat a
-    document under one id are one document; the same place of two different
-    texts under one id counts as one place, which is no copy of itself, and has a row for each of its lines.
+    first is the earliest line, by (id, text key, line number), within the bound; edits
+    is 0 if it is equal and 1 otherwise. Lines count from 0. Lines without a word
+    stay; null and empty texts and an empty table have none. Different texts under one
+    id are told apart by text_key, 28 bits of the text's digest; equal rows are one document.
     """
-    texts = A.ids_and_texts(docs, id_col, text_col)
-    lines = texts.mapInArrow(_line_rows, _LINES).repartition("h1").sortWithinPartitions("h1", "h2", "doc_id", "line_no").mapInArrow(_first_rows, _FIRSTS)
-    firsts = lines.where((F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")) & (F.col("n_words") >= MIN_WORDS))
+    texts = A.ids_and_texts(docs, id_col, text_col).withColumn("text_key", text_key(F.col("text")))
+    place = ["doc_id", "text_key", "line_no"]
+    lines = texts.mapInArrow(_line_rows(min_words), _LINES).repartition("h1").sortWithinPartitions("h1", "h2", *place).mapInArrow(_first_rows, _FIRSTS)
+    first = F.struct(*(F.col(f"first_{c}").alias(c) for c in place))
+    firsts = lines.where((F.struct(*place) == first) & (F.col("n_words") >= min_words))
     keys = firsts.select(F.explode("keys").alias("key"), "h1")
-    able = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_able_rows, "h1 bigint").distinct()
-    able = firsts.join(able, "h1", "left_semi").select("doc_id", "line_no", "h1", "h2")
-    places = able.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("lines"))
-    variants = texts.join(places, "doc_id").select("doc_id", "text", "lines").mapInArrow(_variant_rows, _VARIANTS)
-    near = variants.repartition("v1").sortWithinPartitions("v1").mapInArrow(_near_rows, _NEAR)
-    near = near.groupBy("doc_id", "line_no", "tag").agg(F.min(F.struct(F.col("best_doc_id").alias("doc_id"), F.col("best_line_no").alias("line_no"))).alias("best"))
-    here = F.struct("doc_id", "line_no")
-    named = near.join(able.withColumn("tag", F.expr("cast(h1 << 32 >> 32 as int)")), ["doc_id", "line_no", "tag"]).select("h1", "h2", "best")
+    able = keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_able_rows, "h1 bigint").distinct()
+    able = firsts.join(able, "h1", "left_semi").select(*place, "h1", "h2")
+    places = able.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
+    variants = texts.join(places, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "lines").mapInArrow(_variant_rows, _VARIANTS)
+    near = variants.repartition("v1").sortWithinPartitions("v1", "v2", "place", *place).mapInArrow(_near_rows, _NEAR)
+    near = near.groupBy(*place).agg(F.min(F.struct(*(F.col(f"best_{c}").alias(c) for c in place))).alias("best"))
+    named = near.join(able, place).select("h1", "h2", "best")
     out = lines.drop("keys", "n_words").join(named, ["h1", "h2"], "left")
-    equal = F.struct(F.col("first_doc_id").alias("doc_id"), F.col("first_line_no").alias("line_no"))
-    out = out.withColumn("first", F.least("best", equal)).withColumn("edits", F.when(F.col("first") < equal, 1).otherwise(0))
-    return out.where(F.col("first") < here).select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits")
+    out = out.withColumn("first", F.least("best", first)).withColumn("edits", F.when(F.col("first") < first, 1).otherwise(0))
+    return out.where(F.col("first") < F.struct(*place)).select(*place, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits")
+
+
+def text_key(text: Column) -> Column:
+    """28 bits that tell texts under one id apart."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint").cast("int")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines of repeats(); other columns, rows without an id and documents without repeats as they are."""
-    gone = repeats(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__ql_id")).agg(F.collect_set("line_no").alias("__ql_gone"))
-    both = docs.join(gone, docs[id_col].cast("bigint") == gone["__ql_id"], "left")
+    gone = repeats(docs, id_col, text_col, min_words).groupBy(F.col("doc_id").alias("__ql_id"), F.col("text_key").alias("__ql_key")).agg(F.collect_set("line_no").alias("__ql_gone"))
+    both = docs.join(gone, (docs[id_col].cast("bigint") == gone["__ql_id"]) & (text_key(docs[text_col].cast("string")) == gone["__ql_key"]), "left")
     column = f"`{text_col}`"
     text = F.expr(f"concat_ws('\\n', transform(filter(transform(split({column}, '\\n', -1), (x, i) -> struct(x, i)), s -> not array_contains(__ql_gone, s.i)), s -> s.x))")
     return both.withColumn(text_col, F.when(F.col("__ql_gone").isNull(), F.col(column)).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -261,15 +263,15 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def oracle(table: str = "documents", min_words: int = MIN_WORDS) -> str:
     """DuckDB SQL for repeats(), with whole variants as keys."""
     return f"""
-WITH l AS (SELECT DISTINCT doc_id, text FROM {table} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM l),
-o AS (SELECT doc_id, line_no, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM s),
-u AS (SELECT doc_id, line_no, struct_pack(d := doc_id, l := line_no) AS here, norm FROM o WHERE norm <> ''),
+WITH l AS (SELECT DISTINCT doc_id, text, ('0x' || substr(md5(text), 1, 7))::BIGINT AS text_key FROM {table} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT doc_id, text_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM l),
+o AS (SELECT doc_id, text_key, line_no, trim(regexp_replace(regexp_replace(lower(line), '([{A.spaceless_class()}])', ' \\1 ', 'g'), '[\\x00-\\x20]+', ' ', 'g')) AS norm FROM s),
+u AS (SELECT doc_id, text_key, line_no, struct_pack(d := doc_id, t := text_key, l := line_no) AS here, norm FROM o WHERE norm <> ''),
 f AS (SELECT norm, min(here) AS first, string_split(norm, ' ') AS w FROM u GROUP BY norm),
 p AS (SELECT norm, first, w, unnest(generate_series(1, len(w))) AS place FROM f WHERE len(w) >= {min_words}),
 v AS (SELECT norm, first, place, array_to_string(list_concat(w[1:place - 1], w[place + 1:]), ' ') AS key FROM p
   UNION ALL SELECT norm, first, 0, norm FROM f WHERE len(w) >= {min_words}),
 pair AS (SELECT a.norm, min(b.first) AS best FROM v a JOIN v b ON a.key = b.key AND b.first < a.first AND (a.place = b.place OR a.place = 0 OR b.place = 0) GROUP BY a.norm),
-r AS (SELECT u.doc_id, u.line_no, u.here, f.first AS equal, least(f.first, coalesce(pair.best, f.first)) AS first FROM u JOIN f USING (norm) LEFT JOIN pair USING (norm))
-SELECT DISTINCT doc_id, line_no::INTEGER AS line_no, first.d::BIGINT AS first_doc_id, first.l::INTEGER AS first_line_no, (first < equal)::INTEGER AS edits FROM r WHERE first < here
+r AS (SELECT u.*, f.first AS equal, least(f.first, coalesce(pair.best, f.first)) AS first FROM u JOIN f USING (norm) LEFT JOIN pair USING (norm))
+SELECT DISTINCT doc_id, text_key::INTEGER AS text_key, line_no::INTEGER AS line_no, first.d::BIGINT AS first_doc_id, first.l::INTEGER AS first_line_no, (first < equal)::INTEGER AS edits FROM r WHERE first < here
 """

@@ -1,16 +1,18 @@
 """Plain versions of the operators, and small tables with everything that can be odd."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, v1 int, run int, rank int, sig binary, g string, x0 double, slot int, position int, lines string, first int"
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, v1 int, run int, rank int, sig binary, g string, x0 double, slot int, position int, lines string, first int, text_key string, start string, length string, cuts int, region string, rack string, shard string"
 
 
 def table(spark, rows):
     """Documents with columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, lang, source, len(t) if t else None, "k", 1, 2, 3, b"s", "g", 0.5, 4, 5, "l", 6) for i, t, lang, source in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, source, len(t) if t else None, "k", 1, 2, 3, b"s", "g", 0.5, 4, 5, "l", 6, "k", "s", "l", 7, "r", "k", "s") for i, t, lang, source in rows], SCHEMA)
 
 
 def words_text(r, n, syllables="an be con der el fra gen ha in jo ka lu mi no or pa".split()):
@@ -24,12 +26,12 @@ def messy(seed=5, n=40):
     long = words_text(r, 30_000)
     near = rows[3][1].split(" ")
     near[len(near) // 2] = "changed"
-    rows += [(None, "a text without id", "en", "a"), (100, None, "en", "a"), (101, "", "de", "b"), (102, "  \n\t\n", "en", None), (103, long, None, "a"), (104, long + " end", "en", "a"), (105, rows[3][1], "en", "a"), (106, " ".join(near), "en", "a"), (107, "word", "en", "b"), (108, "word", "en", "b"), rows[7], rows[7], (9, "another text under an id that is taken", "en", "a"), (110, "ünï çödé 你好 🙂 " * 20, "en", "a"), (-5, "a negative id", "en", "a")]
+    rows += [(None, "a text without id", "en", "a"), (100, None, "en", "a"), (101, "", "de", "b"), (102, "  \n\t\n", "en", None), (103, long, None, "a"), (104, long + " end", "en", "a"), (105, rows[3][1], "en", "a"), (106, " ".join(near), "en", "a"), (107, "word", "en", "b"), (108, "word", "en", "b"), rows[7], rows[7], (9, "another text under an id that is taken", "en", "a"), (110, "ünï çödé 你好 🙂 " * 20, "en", "a"), (111, "В НАЧАЛЕ было Слово и слово " * 9, "ru", "a"), (112, "\n в начале БЫЛО слово И слово" * 9, "ru", "a"), (113, "这是一个没有空格的句子。" * 5 + "另一个", "zh", "a"), (114, "前文" + "这是一个没有空格的句子。" * 5, "zh", "a"), (-5, "a negative id", "en", "a")]
     return rows
 
 
 def norm_lines(text):
-    return [" ".join(x.lower().split()) for x in (text or "").split("\n")]
+    return [" ".join(re.sub(f"([{SPACELESS}])", r" \1 ", x.lower()).split()) for x in (text or "").split("\n")]
 
 
 def distance_at_most_one(a, b):
@@ -44,48 +46,51 @@ def distance_at_most_one(a, b):
     return 1 if a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] else 2
 
 
+def key_of(text, digits):
+    return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
+
+
 def line_repeats(rows, min_words):
-    places = sorted({(i, n, x) for i, t, *_ in rows if i is not None for n, x in enumerate(norm_lines(t)) if x})
+    places = sorted({(i, key_of(t, 7), n, x) for i, t, *_ in rows if i is not None and t for n, x in enumerate(norm_lines(t)) if x})
     out = []
-    for i, n, x in places:
+    for *here, x in places:
         w = x.split(" ")
-        for j, m, y in places:
-            if (j, m) >= (i, n):
+        for *there, y in places:
+            if there >= here:
                 break
             v = y.split(" ")
             d = distance_at_most_one(w, v)
             if d == 0 or d == 1 and min(len(w), len(v)) >= min_words:
-                first_equal = min((a, b) for a, b, z in places if z == x)
-                out.append((i, n, j, m, int((j, m) < first_equal)))
+                first_equal = min(p for *p, z in places if z == x)
+                out.append((*here, there[0], there[2], int(there < first_equal)))
                 break
     return sorted(out)
 
 
-def unit_repeats(rows, min_words):
-    """Substring dedup over lines."""
-    docs = sorted({(i, t) for i, t, *_ in rows if i is not None and t})
+def unit_repeats(rows, min_words, reach):
+    """Substring dedup over stretches between cuts."""
+
+    def value(w):
+        b = w.encode()
+        return (int.from_bytes(b[:2], "big") * 40503 + int.from_bytes(b[-2:], "big") * 10007 + len(b) * 97) * 2654435761 % 2**32
+
     units = []
-    for i, t in docs:
-        at = 0
-        for n, x in enumerate(t.split("\n")):
-            size = min(len(x) + 1, len(t) - at)
-            key = " ".join(x.lower().split())
-            if key:
-                units.append((i, n, at, size, len(key.split(" ")), key))
-            at += len(x) + 1
+    for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None and t}, key=lambda x: (x[0], key_of(x[1], 15))):
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(f"[{SPACELESS}]|[^\\x00-\\x20{SPACELESS}]+", t)]
+        v = [value(w) for *_, w in words]
+        n = len(v)
+        cuts = [k for k in range(n) if not k or "\n" in t[words[k - 1][1] : words[k][0]] or all(v[k] < x for x in v[max(0, k - reach) : k]) and all(v[k] <= x for x in v[k + 1 : k + reach + 1]) or k >= reach and len(set(v[k - reach : k + 1])) == 1]
+        for a in cuts:
+            b = min((k for k in [*cuts, n] if k >= a + min_words), default=None)
+            if b is not None:
+                stop = len(t) if b == n else words[b][0]
+                units.append((i, key_of(t, 15), words[a][0], stop - words[a][0], b - a, tuple(w for *_, w in words[a:b])))
     first = {}
-    for u in sorted(units, key=lambda u: (u[0], u[2])):
-        first.setdefault(u[5], (u[0], u[2]))
-    again = {(u[0], u[1]): u for u in units if first[u[5]] != (u[0], u[2])}
     out = []
-    for (i, n), u in again.items():
-        a = b = n
-        while (i, a - 1) in again:
-            a -= 1
-        while (i, b + 1) in again:
-            b += 1
-        if sum(again[i, k][4] for k in range(a, b + 1)) >= min_words:
-            out.append((*u[:5], *first[u[5]]))
+    for u in units:
+        f = first.setdefault(u[5], u)
+        if f[:2] != u[:2] or u[2] >= f[2] + f[3]:
+            out.append((*u[:5], f[0], f[2]))
     return sorted(out)
 
 
@@ -107,8 +112,8 @@ def groups(n, near):
 
 
 def tokens(text):
-    """(start, end, folded word) as the operators cut words: runs of ASCII letters and digits and of all beyond ASCII."""
-    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text or "")]
+    """(start, end, folded word) as the operators cut words: runs of ASCII letters and digits and of all beyond ASCII, characters without spaces alone."""
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(f"[{SPACELESS}]|(?:(?![{SPACELESS}])[0-9A-Za-z\u0080-\U0010ffff])+", text or "")]
 
 
 def leaks(text, items, min_tokens, min_short, min_share):

@@ -80,15 +80,60 @@ def test_line_dedup_equals_brute_force(spark, seed):
                 w = w or ["x"]
             text.append(" ".join(w))
         rows.append((200 + k, "\n".join(text), "en", "a"))
-    rows = [x for x in rows if x[:2] != (9, "another text under an id that is taken") and x[0] not in (103, 104)]
+    rows = [x for x in rows if x[0] not in (103, 104)]
+    rows += [(9, rows[0][1] + "\nanother text under an id that is taken once more", "en", "a"), (9, rows[0][1], "en", "b")]
     got = sorted(map(tuple, line_dedup.repeats(brute.table(spark, rows)).collect()))
     assert got == brute.line_repeats(rows, line_dedup.MIN_WORDS) and any(x[4] for x in got)
 
 
 def test_line_dedup_long_texts_and_shared_ids(spark):
     got = line_dedup.repeats(brute.table(spark, brute.messy())).collect()
-    assert (104, 0, 103, 0, 1) in map(tuple, got)  # 30000 words and one more
-    assert not [x for x in got if x.doc_id == 9 and x.first_doc_id == 9]
+    assert (104, 0, 103, 0, 1) in {(x.doc_id, *x[2:]) for x in got}  # 30000 words and one more
+
+
+def test_groups_of_equal_variants_go_over_batches():
+    """A group cut anywhere has the same hits as in one piece."""
+    rng = np.random.default_rng(4)
+    rows = np.stack([rng.integers(0, 9, 600), rng.integers(0, 2, 600), rng.integers(-1, 4, 600), rng.integers(0, 40, 600), rng.integers(0, 2, 600), rng.integers(0, 3, 600)], 1)
+    rows = np.unique(rows, axis=0)
+    seen = set()
+    rows = np.array([x for x in rows.tolist() if x[2] >= 0 or not (tuple(x[:2]) in seen or seen.add(tuple(x[:2])))])
+    batch = pa.record_batch([pa.array(c.astype(t)) for c, t in zip(rows.T, (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32), strict=True)], names=["v1", "v2", "place", "doc_id", "text_key", "line_no"])
+
+    def best(batches):
+        out = {}
+        for b in line_dedup._near_rows(batches):
+            for *line, d, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out[tuple(line)] = min(out.get(tuple(line), (1 << 40,)), (d, k, n))
+        return out
+
+    want = {}
+    for a in rows.tolist():
+        near = [tuple(b[3:]) for b in rows.tolist() if a[:2] == b[:2] and b[3:] < a[3:] and (a[2] == b[2] or -1 in (a[2], b[2]))]
+        if near:
+            want[tuple(a[3:])] = min([*near, want.get(tuple(a[3:]), (1 << 40,))])
+    assert best([batch]) == want
+    for size in (1, 2, 7, 50):
+        assert best([batch.slice(k, size) for k in range(0, batch.num_rows, size)]) == want
+
+
+def test_lines_that_share_a_half_go_over_batches():
+    rng = np.random.default_rng(5)
+    rows = sorted((int(k), int(h)) for k, h in zip(rng.integers(0, 60, 300), rng.integers(0, 90, 300), strict=True))
+    batch = pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.int64())], names=["key", "h1"])
+    want = {h for k, h in rows if any(a == k and b != h for a, b in rows)}
+    for size in (1, 3, 300):
+        got = {h for b in line_dedup._able_rows([batch.slice(k, size) for k in range(0, len(rows), size)]) for h in b.column(0).to_pylist()}
+        assert got == want
+
+
+def test_removal_tells_texts_under_one_id_apart(spark):
+    long = brute.words_text(random.Random(8), 60)
+    other = brute.words_text(random.Random(9), 60)
+    docs = brute.table(spark, [(1, long, "en", "a"), (2, long, "en", "a"), (2, "first line of the other text\n" + other, "en", "a"), (2, long, "en", "b")])
+    for f in (line_dedup.remove, substring_dedup.remove):
+        got = sorted((x.doc_id, x.text) for x in f(docs).collect())
+        assert got == [(1, long), (2, ""), (2, ""), (2, "first line of the other text\n" + other)]
 
 
 def test_line_removal_keeps_the_rest(spark):
@@ -98,12 +143,27 @@ def test_line_removal_keeps_the_rest(spark):
 
 
 def test_substring_dedup_equals_brute_force(spark):
-    rows = [x for x in brute.messy() if x[:2] != (9, "another text under an id that is taken")]
-    shared = "\n".join(brute.words_text(random.Random(k), 12) for k in range(3))
-    rows += [(300, shared + "\nown", "en", "a"), (301, "own too\n" + shared.upper(), "en", "a"), (302, shared.split("\n")[0], "en", "a"), (303, "ünï\n" + shared + "\n" + shared, "en", "a")]
+    rows = [x for x in brute.messy() if x[0] not in (103, 104)]
+    r = random.Random(1)
+    shared = brute.words_text(r, 60).replace(" no", "\nno")
+    for k in range(30):  # passages inside lines, some cut short, self repeats, runs of one word
+        words = shared.split(" ")
+        a = r.randrange(30)
+        part = " ".join(words[a : a + r.randint(10, 60)])
+        rows.append((300 + k // 2, brute.words_text(r, r.randint(0, 20)) + " " + r.choice((part, part.upper(), part + "\n\n" + part, "the " * r.randint(0, 70))) + " " + brute.words_text(r, r.randint(0, 9)), "en", "a"))
     got = sorted(map(tuple, substring_dedup.repeats(brute.table(spark, rows)).collect()))
-    assert got == brute.unit_repeats(rows, substring_dedup.MIN_WORDS)
-    assert {x[0] for x in got} >= {301, 303} and 302 not in {x[0] for x in got}
+    assert got == brute.unit_repeats(rows, substring_dedup.MIN_WORDS, substring_dedup.REACH)
+    assert {112, 114} <= {x[0] for x in got} and any(x[0] == x[5] for x in got)
+
+
+def test_a_passage_of_fifty_words_is_found_wherever_it_begins(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(100):
+        passage = brute.words_text(r, 51)
+        rows += [(2 * k, brute.words_text(r, 40) + " " + passage + " " + brute.words_text(r, 40), "en", "a"), (2 * k + 1, brute.words_text(r, 33) + " " + passage + "\n" + brute.words_text(r, 40), "en", "a")]
+    got = {x.doc_id for x in substring_dedup.repeats(brute.table(spark, rows)).collect()}
+    assert len(got) >= 98 and not [x for x in got if x % 2 == 0]
 
 
 def test_substring_removal(spark):
