@@ -18,8 +18,10 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="quadloom")
     p.add_argument("-d", "--database", default="quads", help="folder of the quad table")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("server").add_argument("-p", "--port", type=int, default=8005)
-    sub.add_parser("cli")
+    server = sub.add_parser("server")
+    server.add_argument("-p", "--port", type=int, default=8005)
+    for reader in (server, sub.add_parser("cli")):
+        reader.add_argument("--by-object", default=None, help="folder of the copy clustered by object, for lookups by object")
     create = sub.add_parser("create-db")
     create.add_argument("-f", "--file", required=True, help="dump file or folder")
     create.add_argument("-n", "--no-qualifiers", action="store_true")
@@ -30,6 +32,10 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(args)
 
 
+def open_engine(spark: SparkSession, database: str, by_object: str | None = None) -> Engine:
+    return Engine(quads.QuadSource(quads.read(spark, database), quads.read(spark, by_object) if by_object else None))
+
+
 def repl(engine: Engine, lines: Iterable[str]) -> None:
     """Reads queries that end with a blank line, until exit."""
     held: list[str] = []
@@ -56,7 +62,7 @@ def main(args: list[str] | None = None) -> int:
         table = quads.read(spark, a.database)
         quads.write_by_object(table, a.by_object)
     else:
-        engine = Engine(quads.QuadSource(quads.read(spark, a.database)))
+        engine = open_engine(spark, a.database, a.by_object)
         if a.command == "server":
             serve(engine, a.port).serve_forever()
         else:

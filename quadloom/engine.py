@@ -29,7 +29,7 @@ class Engine:
         their language, terms of mixed kinds in their lexical form. An ASK gives one row with the column answer."""
         form, rel = self.relation(text)
         if form == "ASK":
-            return rel.df.agg((F.count(F.lit(1)) > 0).alias("answer"))
+            return rel.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
         names = {n: (rel.col(n)["s"] if v.kind == "text" else T.lexical(rel.col(n), "term") if v.kind == "term" else rel.col(n)) for n, v in rel.vars.items()}
         return rel.df.select(*(c.alias(n) for n, c in names.items()))
 
@@ -43,5 +43,3 @@ class Engine:
             yield results.ask_document(not rel.df.isEmpty())
         else:
             yield from results.pieces(rel)
-
-

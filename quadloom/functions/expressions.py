@@ -381,8 +381,9 @@ def _is_time(e: E) -> Column:
 class Scope:
     """Compiles expressions over named, kinded columns."""
 
-    def __init__(self, lookup: Callable[[str], E], exists: Callable[[L.Exists], Column] | None = None):
-        self.lookup, self.exists = lookup, exists
+    def __init__(self, lookup: Callable[[str], E], exists: Callable[[L.Exists], Column] | None = None, joined: Callable[[L.Call], E | None] | None = None):
+        """joined gives the value of calls that were joined to the rows beforehand."""
+        self.lookup, self.exists, self.joined = lookup, exists, joined
 
     def compile(self, node: object) -> E:
         if isinstance(node, L.Var):
@@ -396,6 +397,8 @@ class Scope:
         if not isinstance(node, L.Call):
             raise T.SparqlError(f"not an expression: {node!r}")
         name, args = node.name, node.args
+        if self.joined and (e := self.joined(node)) is not None:
+            return e
         if name == "BOUND":
             return boolean(self.compile(args[0]).col.isNotNull())
         if name == "IF":

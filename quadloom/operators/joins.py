@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.relation import Rel, V, column_name, empty, spark_type
+from ..terms import to_term
 
 _RIGHT = "r@"
 
@@ -58,83 +59,104 @@ def join(left: Rel, right: Rel) -> Rel:
     if not loose:
         return Rel(left.df.join(right.df, [column_name(n) for n in shared]), out)
     parts = []
-    for (l_bound, r_bound), l_part, r_part in _patterns(left, right, loose):
-        both = [n for n in firm + loose if n in firm or (n in l_bound and n in r_bound)]
-        other = _renamed(Rel(r_part, right.vars), shared)
-        condition = _all([F.col(f"`{column_name(n)}`") == _r(n) for n in both])
-        joined = l_part.join(other, condition) if both else l_part.crossJoin(other)
-        columns = [(F.coalesce(left.col(n), _r(n)) if n in loose else left.col(n)).alias(column_name(n)) for n in left.vars]
-        parts.append(joined.select(*columns, *(right.col(n) for n in right.vars if n not in shared)))
+    for l_bound, l_part in _split(left, loose):
+        for r_bound, r_part in _split(right, loose):
+            both = [n for n in shared if n in firm or (n in l_bound and n in r_bound)]
+            other = _renamed(Rel(r_part, right.vars), shared)
+            joined = l_part.join(other, _equal(left, both)) if both else l_part.crossJoin(other)
+            columns = [(F.coalesce(left.col(n), _r(n)) if n in loose else left.col(n)).alias(column_name(n)) for n in left.vars]
+            parts.append(joined.select(*columns, *(right.col(n) for n in right.vars if n not in shared)))
     return Rel(reduce(DataFrame.unionByName, parts), out)
 
 
-def _patterns(left: Rel, right: Rel, loose: list[str]):
-    """The parts of both sides by which of the loose variables are bound."""
-
-    def split(rel: Rel):
-        free = [n for n in loose if rel.vars[n].nullable]
-        for bits in product((True, False), repeat=len(free)):
-            unbound = {n for n, b in zip(free, bits, strict=True) if not b}
-            tests = [rel.col(n).isNull() if n in unbound else rel.col(n).isNotNull() for n in free]
-            yield {n for n in loose if n not in unbound}, rel.df.where(_all(tests))
-
-    for l_bound, l_part in split(left):
-        for r_bound, r_part in split(right):
-            yield (l_bound, r_bound), l_part, r_part
+def _split(rel: Rel, loose: list[str]) -> list[tuple[set[str], DataFrame]]:
+    """The parts of a side by which of the loose variables are bound."""
+    free = [n for n in loose if rel.vars[n].nullable]
+    out = []
+    for bits in product((True, False), repeat=len(free)):
+        unbound = {n for n, b in zip(free, bits, strict=True) if not b}
+        tests = [rel.col(n).isNull() if n in unbound else rel.col(n).isNotNull() for n in free]
+        out.append(({n for n in loose if n not in unbound}, rel.df.where(_all(tests)) if tests else rel.df))
+    return out
 
 
-def _compatible(left: Rel, right: Rel, shared: list[str]) -> Column:
-    """Join condition: equal or unbound on a side."""
-    out = []
-    for n in shared:
-        test = left.col(n) == _r(n)
-        if left.vars[n].nullable:
-            test = test | left.col(n).isNull()
-        if right.vars[n].nullable:
-            test = test | _r(n).isNull()
-        out.append(test)
-    return _all(out)
+def _equal(left: Rel, names: list[str]) -> Column:
+    return _all([left.col(n) == _r(n) for n in names])
 
 
 def left_join(left: Rel, right: Rel, condition=None) -> Rel:
-    """OPTIONAL: condition(lookup) gives the filter as a column over both sides, it is part of the join."""
+    """OPTIONAL: condition(lookup) gives the filter as a column over both sides, it is part of the join.
+
+    Where a shared variable may be unbound, each pattern of unbound variables has a join of its own, as in join().
+    """
     left, right, shared, disjoint = _aligned(left, right)
-    other = _renamed(right, shared)
-    on = F.lit(False) if disjoint else _compatible(left, right, shared)
+    loose = [n for n in shared if left.vars[n].nullable or right.vars[n].nullable]
     # A variable that is unbound on the left may stay unbound, as not every row has a partner.
     merged = dict(left.vars) | {n: V(v.kind, True) for n, v in right.vars.items() if n not in shared}
+    test = None
     if condition is not None:
         both = {n: ((F.coalesce(left.col(n), _r(n)) if left.vars[n].nullable else left.col(n)) if n in left.vars and n in shared else (left.col(n) if n in left.vars else right.col(n)), merged[n].kind) for n in merged}
-        on = on & F.coalesce(condition(both), F.lit(False))
-    df = left.df.join(other, on, "left")
+        test = F.coalesce(condition(both), F.lit(False))
     columns = [(F.coalesce(left.col(n), _r(n)) if n in shared and left.vars[n].nullable else left.col(n)).alias(column_name(n)) for n in left.vars]
-    return Rel(df.select(*columns, *(right.col(n) for n in right.vars if n not in shared)), merged)
-
-
-def semi_join(left: Rel, right: Rel, negated: bool = False, condition=None) -> Rel:
-    """EXISTS and NOT EXISTS as a filter: rows of left with (without) a compatible row in right."""
+    columns += [right.col(n) for n in right.vars if n not in shared]
+    rights = [(set(loose), right.df.where("false"))] if disjoint else _split(right, loose)
+    parts = []
+    for l_bound, l_part in _split(left, loose):
+        rest = l_part
+        for k, (r_bound, r_part) in enumerate(rights):
+            on = _equal(left, [n for n in shared if n not in loose or (n in l_bound and n in r_bound)])
+            on = on if test is None else on & test
+            other = _renamed(Rel(r_part, right.vars), shared)
+            if k < len(rights) - 1:
+                parts.append(l_part.join(other, on, "inner").select(*columns))
+                rest = rest.join(other, on, "left_anti")
+            elif k == 0:
+                parts.append(l_part.join(other, on, "left").select(*columns))
+            else:
+                # Rows that have met a partner already don't count as unmatched here.
+                parts.append(l_part.join(other, on, "inner").select(*columns))
+                rest = rest.join(other, on, "left_anti")
+                missing = [(left.col(n) if n in left.vars else F.lit(None).cast(spark_type(right.vars[n].kind))).alias(column_name(n)) for n in merged]
+                parts.append(rest.select(*missing))
+    return Rel(reduce(DataFrame.unionByName, parts), merged)
+
+
+def semi_join(left: Rel, right: Rel, negated: bool = False, condition=None, some_bound: bool = False) -> Rel:
+    """EXISTS and NOT EXISTS as a filter: rows of left with (without) a compatible row in right; some_bound: one that shares a bound variable."""
     kinds = dict(left.vars)
     aligned, right, shared, disjoint = _aligned(left, right)
-    on = F.lit(False) if disjoint else _compatible(aligned, right, shared)
+    test = None
+    # The test uses terms where the kinds differ, the result keeps native columns.
+    key = {n: "k@" + column_name(n) for n in shared if kinds[n].kind != aligned.vars[n].kind}
+    plain = [F.col(f"`{c}`") for c in left.df.columns]
+    wide = left.df.select(*plain, *(to_term(left.col(n), kinds[n].kind).alias(c) for n, c in key.items())) if key else left.df
+    col = lambda n: F.col(f"`{key[n]}`") if n in key else left.col(n)
     if condition is not None:
-        both = {n: (aligned.col(n), aligned.vars[n].kind) for n in aligned.vars} | {n: (right.col(n), right.vars[n].kind) for n in right.vars if n not in shared}
-        on = on & F.coalesce(condition(both), F.lit(False))
+        both = {n: (col(n), aligned.vars[n].kind) for n in aligned.vars} | {n: (right.col(n), right.vars[n].kind) for n in right.vars if n not in shared}
+        test = F.coalesce(condition(both), F.lit(False))
     else:
         right = right.keep(shared)
-    key = [n for n in shared if kinds[n].kind != aligned.vars[n].kind]
-    if key:  # the test uses terms, the result keeps native columns
-        plain = [F.col(f"`{c}`") for c in left.df.columns]
-        wide = left.df.select(*plain, *(aligned_col(left, n).alias("k@" + column_name(n)) for n in key))
-        on = F.lit(False) if disjoint else _all([(F.col(f"`k@{column_name(n)}`") if n in key else left.col(n)) == _r(n) for n in shared])
-        df = wide.join(_renamed(right, shared), on, "left_anti" if negated else "left_semi").select(*plain)
-        return Rel(df, kinds)
-    return Rel(left.df.join(_renamed(right, shared), on, "left_anti" if negated else "left_semi"), kinds)
-
-
-def aligned_col(rel: Rel, name: str) -> Column:
-    from ..terms import to_term
-
-    return to_term(rel.col(name), rel.vars[name].kind)
+    if disjoint:
+        return Rel(left.df if negated else left.df.where("false"), kinds)
+    loose = [n for n in shared if kinds[n].nullable or right.vars[n].nullable]
+    parts = []
+    for l_bound, l_part in _split(Rel(wide, kinds), loose):
+        rest = l_part
+        for r_bound, r_part in _split(right, loose):
+            same = [n for n in shared if n not in loose or (n in l_bound and n in r_bound)]
+            if some_bound and not same:
+                continue
+            on = _all([col(n) == _r(n) for n in same])
+            on = on if test is None else on & test
+            other = _renamed(Rel(r_part, right.vars), shared)
+            if not same and test is None:
+                other = other.limit(1)  # any row will do
+            if not negated:
+                parts.append(rest.join(other, on, "left_semi"))
+            rest = rest.join(other, on, "left_anti")
+        if negated:
+            parts.append(rest)
+    return Rel(reduce(DataFrame.unionByName, parts).select(*plain), kinds) if parts else Rel(left.df.where("false"), kinds)
 
 
 def minus(left: Rel, right: Rel) -> Rel:
@@ -142,17 +164,7 @@ def minus(left: Rel, right: Rel) -> Rel:
     shared = [n for n in left.vars if n in right.vars]
     if not shared:
         return left
-    a, b, _, disjoint = _aligned(left, right)
-    if disjoint:
-        return left
-    right = b.keep(shared)
-    loose = any(a.vars[n].nullable or b.vars[n].nullable for n in shared)
-    if not loose:
-        return semi_join(left, right, negated=True)
-    left = a
-    on = _compatible(left, right, shared)
-    some = reduce(lambda x, y: x | y, [left.col(n).isNotNull() & _r(n).isNotNull() for n in shared])
-    return Rel(left.df.join(_renamed(right, shared), on & some, "left_anti"), dict(left.vars))
+    return semi_join(left, right.keep(shared), negated=True, some_bound=True)
 
 
 def union(left: Rel, right: Rel) -> Rel:

@@ -38,6 +38,12 @@ def attach(source, child: Rel, node: L.Labels, projected: list[str]) -> Rel:
         rank = F.array_position(F.array(*(F.lit(x) for x in node.languages)), found.col(".lang"))
         key, value = found.col(".s"), found.col(".value")
         best = found.df.select(key.alias("s"), rank.alias("rank"), value.alias("value"))
+        if what == "alias" or not (source.one_label_each and len(node.languages) == 1):
+            # Only what the child asks for is aggregated, not all labels there are.
+            own = child.vars[variable].kind
+            asked = child.col(variable) if own == found.vars[".s"].kind else T.to_term(child.col(variable), own)
+            wanted = child.df.select(asked.alias("want")).where("want is not null").distinct()
+            best = best.join(wanted, (best["s"] if own == found.vars[".s"].kind or found.vars[".s"].kind == "term" else T.to_term(best["s"], found.vars[".s"].kind)) == wanted["want"], "left_semi")
         if what == "alias":
             best = best.groupBy("s", "rank").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
         if not (source.one_label_each and len(node.languages) == 1 and what != "alias"):
@@ -45,3 +51,8 @@ def attach(source, child: Rel, node: L.Labels, projected: list[str]) -> Rel:
         right = Rel(best.select(F.col("s").alias(column_name(variable)), F.col("value").alias(column_name(target))), {variable: V(found.vars[".s"].kind), target: V("string")})
         child = joins.left_join(child, right) if child.vars[variable].kind == right.vars[variable].kind or "term" in (child.vars[variable].kind, right.vars[variable].kind) else Rel(child.df.withColumn(column_name(target), F.lit(None).cast("string")), child.vars | {target: V("string", True)})
     return child
+
+
+def call(source, child: Rel, variable: str, languages: list[str], target: str) -> Rel:
+    """child with target bound to the label of variable in the first of the languages that has one."""
+    return attach(source, child, L.Labels(None, languages, [(variable, T.PREFIXES["rdfs"] + "label", target)]), [])

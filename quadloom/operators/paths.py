@@ -8,12 +8,15 @@ reachable set is followed. Rounds grow with the longest path, not with the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import terms as T
 from ..plans import algebra as L
-from ..plans.relation import Rel, V, column_name, cut_lineage, empty, spark_type
+from ..plans.relation import Rel, V, column_name, empty, spark_type
+from ..storage import cut_lineage
 from . import joins
 
 S, O = ".s", ".o"
@@ -38,14 +41,17 @@ def _rel(df: DataFrame, kind: str) -> Rel:
 
 
 def _grow(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """All (s, o) with a path of one step or more from a start pair's o along edges, start pairs included."""
+    """All (s, o) with a path of one step or more from a start pair's o along edges, start pairs included.
+
+    Each round writes only the pairs that it found; what is known is the union of the rounds.
+    """
     step = edges.select(F.col("s").alias("via"), F.col("o").alias("to"))
-    seen = last = cut_lineage(start.distinct())
-    while not last.isEmpty():
+    rounds = [cut_lineage(start.distinct())]
+    while not rounds[-1].isEmpty():
+        last = rounds[-1]
         new = last.join(step, last["o"] == step["via"]).select("s", F.col("to").alias("o")).distinct()
-        last = cut_lineage(new.join(seen, ["s", "o"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(last))
-    return seen
+        rounds.append(cut_lineage(new.join(reduce(DataFrame.unionByName, rounds), ["s", "o"], "left_anti")))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def closure(source, path: L.Repeat, start: T.Const | None = None, end: T.Const | None = None) -> Rel:

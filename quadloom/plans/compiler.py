@@ -17,12 +17,16 @@ from . import algebra as L
 from .relation import Rel, V, column_name, empty, spark_type, unit
 
 
+LABEL = T.PREFIXES["wikibase"] + "label"
+
+
 class Compiler:
     def __init__(self, source):
         self.source = source
         self.spark = source.spark
         self.projected: list[str] = []
         self.marks = 0
+        self.outer: Rel | None = None  # of the pattern of an EXISTS, the solutions that it is tested for
 
     def compile(self, node: object) -> Rel:
         return getattr(self, "_" + type(node).__name__.lower())(node)
@@ -89,6 +93,7 @@ class Compiler:
         left, right = self.compile(node.left), self.compile(node.right)
         if node.condition is None:
             return joins.left_join(left, right)
+        left = self._with_outer(left, node.condition, right)
         return joins.left_join(left, right, lambda both: self._condition(node.condition, both))
 
     def _condition(self, condition: object, both: dict[str, tuple[Column, str]]) -> Column:
@@ -105,6 +110,7 @@ class Compiler:
     def _filter(self, node: L.Filter) -> Rel:
         child = self.compile(node.child)
         for condition in _conjuncts(node.condition):
+            child = self._with_outer(child, condition)
             if isinstance(condition, L.Call) and condition.name == "!" and isinstance(condition.args[0], L.Exists):
                 condition = L.Exists(condition.args[0].pattern, not condition.args[0].negated)
             if isinstance(condition, L.Exists):
@@ -116,16 +122,31 @@ class Compiler:
                 child = Rel(child.df.drop(*extra), child.vars)
         return child
 
+    def _with_outer(self, child: Rel, condition: object, other: Rel | None = None) -> Rel:
+        """child joined with those variables around an EXISTS that a filter in its pattern needs."""
+        if self.outer is None:
+            return child
+        have = set(child.vars) | set(other.vars if other else ())
+        need = sorted(n for n in L.variables(condition) if n in self.outer.vars and n not in have)
+        if not need:
+            return child
+        keys = self.outer.keep([n for n in self.outer.vars if n in need or n in have])
+        return joins.join(child, Rel(keys.df.distinct(), keys.vars))
+
     def _inner(self, pattern: object, outer: Rel):
         """The pattern of an EXISTS, and a test for those of its filters that need the outer row."""
         late = []
         while isinstance(pattern, L.Filter):
             late.append(pattern.condition)
             pattern = pattern.child
+        held, self.outer = self.outer, outer
         right = self.compile(pattern)
+        self.outer = held
         inner = [c for c in late if not any(n not in right.vars and n in outer.vars for n in L.variables(c))]
         for c in inner:
-            right = right.where(ebv(Scope(right.lookup).compile(c)))
+            right, scope, extra = self._scope(right, c)
+            right = right.where(ebv(scope.compile(c)))
+            right = Rel(right.df.drop(*extra), right.vars)
         rest = [c for c in late if c not in inner]
         if not rest:
             return right, None
@@ -139,7 +160,7 @@ class Compiler:
         return right, test
 
     def _scope(self, child: Rel, *expressions: object) -> tuple[Rel, Scope, list[str]]:
-        """A scope for expressions over child; each EXISTS inside them becomes a flag column by a left join."""
+        """A scope for expressions over child; each EXISTS and label call inside them becomes a column by a left join."""
         marks: dict[int, str] = {}  # by the identity of the node
 
         def visit(e: object) -> None:
@@ -148,15 +169,33 @@ class Compiler:
                 if id(e) in marks:
                     return
                 right, test = self._inner(e.pattern, child)
-                if test is not None:
-                    raise T.SparqlError("an EXISTS inside an expression can't filter on outer variables")
                 shared = [n for n in right.vars if n in child.vars]
                 self.marks += 1
                 name = f".e{self.marks}"
+                if test is not None or any(child.vars[n].nullable or right.vars[n].nullable for n in shared):
+                    # Filters on the outer row, or unbound variables that could meet several rows: those with and those without.
+                    both = [joins.semi_join(child, right, negated, test) for negated in (False, True)]
+                    child = joins.union(*(Rel(r.df.withColumn(column_name(name), F.lit(not k)), r.vars | {name: V("bool")}) for k, r in enumerate(both)))
+                    marks[id(e)] = name
+                    return
                 keys = right.keep(shared)
                 keys = Rel(keys.df.distinct().withColumn(column_name(name), F.lit(True)), keys.vars | {name: V("bool")}) if shared else Rel(keys.df.limit(1).withColumn(column_name(name), F.lit(True)), {name: V("bool")})
                 child = joins.left_join(child, keys)
                 marks[id(e)] = name
+            elif isinstance(e, L.Call) and e.name == LABEL:
+                if id(e) in marks:
+                    return
+                if not e.args or not all(isinstance(a, T.Const) for a in e.args[1:]):
+                    raise T.SparqlError("wikibase:label needs an expression and constant languages")
+                self.marks += 1
+                name, at = f".l{self.marks}", f".x{self.marks}"
+                subject = Scope(child.lookup).compile(e.args[0])
+                child = Rel(child.df.withColumn(column_name(at), subject.col if subject.kind != "null" else F.lit(None).cast("string")), child.vars | {at: V(subject.kind if subject.kind != "null" else "string", True)})
+                child = labels.call(self.source, child, at, [str(a.value) for a in e.args[1:]] or ["en"], name)
+                if name not in child.vars:
+                    child = Rel(child.df.withColumn(column_name(name), F.lit(None).cast("string")), child.vars | {name: V("string", True)})
+                child = Rel(child.df.drop(column_name(at)), {n: v for n, v in child.vars.items() if n != at})
+                marks[id(e)] = name
             elif isinstance(e, (L.Call, L.Aggregate)):
                 for a in e.args if isinstance(e, L.Call) else (e.arg,):
                     visit(a)
@@ -169,7 +208,10 @@ class Compiler:
             found = F.coalesce(child.col(marks[id(e)]), F.lit(False))
             return ~found if e.negated else found
 
-        return child, Scope(child.lookup, flag), [column_name(n) for n in marks.values()]
+        def joined(e: L.Call) -> E | None:
+            return E(child.col(marks[id(e)]), "string") if id(e) in marks else None
+
+        return child, Scope(child.lookup, flag, joined), [column_name(n) for n in marks.values()]
 
     def _extend(self, node: L.Extend) -> Rel:
         child = self.compile(node.child)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,12 +70,3 @@ def unit(spark: SparkSession) -> Rel:
 def empty(spark: SparkSession, variables: dict[str, V]) -> Rel:
     schema = ", ".join(f"`{column_name(n)}` {spark_type(v.kind)}" for n, v in variables.items())
     return Rel(spark.createDataFrame([], schema) if variables else spark.range(0).select(), dict(variables))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the session's shared folder; a folder of our own only where none is named (local runs)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()

@@ -3,15 +3,35 @@
 from __future__ import annotations
 
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import islice
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 
 from .engine import Engine
 from .terms import SparqlError
 
 PAGE = """<!doctype html><meta charset="utf-8"><title>Query</title>
-<form action="/query" method="get"><textarea name="query" rows="12" cols="90">SELECT * WHERE { ?s ?p ?o } LIMIT 10</textarea><br><button>Run</button></form>
+<style>body{display:flex;gap:1em;font-family:sans-serif}table{border-collapse:collapse}td,th{border:1px solid #aaa;padding:.2em .5em}</style>
+<form id="f" action="/query" method="get"><textarea name="query" rows="20" cols="70">SELECT * WHERE { ?s ?p ?o } LIMIT 10</textarea><br><button>Run</button></form>
+<div><p id="note"></p><table id="rows"></table></div>
+<script>
+const note = document.getElementById("note"), rows = document.getElementById("rows");
+const line = (tag, cells) => { const tr = rows.insertRow(); for (const c of cells) tr.appendChild(Object.assign(document.createElement(tag), {textContent: c})); };
+document.getElementById("f").onsubmit = async event => {
+  event.preventDefault();
+  rows.replaceChildren();
+  note.textContent = "running";
+  const reply = await fetch("/query?" + new URLSearchParams(new FormData(event.target)));
+  if (!reply.ok) { note.textContent = await reply.text(); return; }
+  const found = await reply.json();
+  if ("boolean" in found) { note.textContent = found.boolean; return; }
+  note.textContent = found.results.bindings.length + " solutions";
+  line("th", found.head.vars);
+  for (const b of found.results.bindings) line("td", found.head.vars.map(v => v in b ? b[v].value : ""));
+};
+</script>
 """
 
 
@@ -28,10 +48,12 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
                 return self.reply(400, "text/plain", ["the parameter query is missing"])
             try:
                 body = engine.json(text)
-                first = next(body)
+                first = list(islice(body, 2))  # with the second piece the job has run up to its first row
             except (SparqlError, AnalysisException) as e:
                 return self.reply(400, "text/plain; charset=utf-8", [str(e)])
-            return self.reply(200, "application/sparql-results+json", [first], body)
+            except (PySparkException, Py4JError) as e:
+                return self.reply(500, "text/plain; charset=utf-8", [str(e)])
+            return self.reply(200, "application/sparql-results+json", first, body)
 
         def reply(self, status: int, kind: str, head: list[str], rest=()) -> None:
             self.send_response(status)

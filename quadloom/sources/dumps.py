@@ -64,32 +64,57 @@ def entities(lines: DataFrame) -> DataFrame:
     return parsed.where("e.id is not null").select("e.*")
 
 
+_FACT = f"struct<what:string,lang:string,text:string,id:string,rank:string,snak:{_SNAK}>"
+
+
 def quads(items: DataFrame, languages: list[str] | None = None, qualifiers: bool = True) -> DataFrame:
-    """Quads of parsed entities, for batch and streaming frames alike."""
-    subject = entity(F.col("id")).alias("s")
-
-    def texts(column: str, name: str, many: bool) -> DataFrame:
-        rows = items.select(subject, F.explode(column).alias("lang", "text"))
-        if languages is not None:
-            rows = rows.where(F.col("lang").isin(languages)) if languages else rows.where("false")
-        if many:
-            rows = rows.select("s", "lang", F.explode("text").alias("text"))
-        p, o = T.make_term(T.CODE[name], s=F.lower("lang")), T.make_term(4, s=F.col("text.value"))
-        return rows.select("s", p.alias("p"), o.alias("o"), F.lit(False).alias("claim"), F.lit(None).cast("string").alias("rank"), F.lit(name).alias("pkey"))
-
-    plain = texts("labels", "label", False).unionByName(texts("descriptions", "description", False)).unionByName(texts("aliases", "alias", True))
+    """Quads of parsed entities, for batch and streaming frames alike.
+
+    All facts of an entity are put into one array, which is exploded once.
+    """
+
+    def fact(what: str, lang: Column | None = None, text: Column | None = None, claim: Column | None = None, snak: Column | None = None) -> Column:
+        null = F.lit(None).cast("string")
+        return F.struct(F.lit(what).alias("what"), (null if lang is None else lang).alias("lang"), (null if text is None else text).alias("text"), (null if claim is None else claim["id"]).alias("id"), (null if claim is None else claim["rank"]).alias("rank"), (F.lit(None).cast(_SNAK) if snak is None else snak).alias("snak"))
+
+    def some(facts: Column) -> Column:
+        return F.coalesce(facts, F.lit([]).cast(f"array<{_FACT}>"))
+
+    def texts(column: str) -> Column:
+        entries = F.map_entries(column)
+        return entries if languages is None else F.filter(entries, lambda e: e["key"].isin(languages) if languages else F.lit(False))
+
+    def claim(c: Column) -> Column:
+        main = F.array(fact("claim", claim=c, snak=c["mainsnak"]))
+        if not qualifiers:
+            return main
+        return F.concat(main, some(F.transform(F.flatten(F.map_values(c["qualifiers"])), lambda q: fact("qualifier", claim=c, snak=q))))
+
+    def single(column: str, what: str) -> Column:
+        return some(F.transform(texts(column), lambda e: fact(what, e["key"], e["value"]["value"])))
+
+    facts = [single("labels", "label"), single("descriptions", "description")]
+    facts.append(some(F.flatten(F.transform(texts("aliases"), lambda e: F.transform(e["value"], lambda x: fact("alias", e["key"], x["value"]))))))
+    facts.append(some(F.flatten(F.transform(F.flatten(F.map_values("claims")), claim))))
+    rows = items.select(entity(F.col("id")).alias("e"), F.explode(F.concat(*facts)).alias("f"))
+    what, snak = F.col("f.what"), F.col("f.snak")
+    main, side = what == "claim", what == "qualifier"
+    statement = F.replace(F.col("f.id"), F.lit("$"), F.lit("-"))
+    number = F.regexp_extract(snak["property"], r"^P(\d+)$", 1).try_cast("bigint")
+    named = F.lit(None).cast(T.TERM)
+    for name in ("label", "description", "alias"):
+        named = F.when(what == name, T.make_term(T.CODE[name], s=F.lower("f.lang"))).otherwise(named)
+    out = rows.select(
+        F.when(side, T.make_term(T.CODE["stmt"], s=statement)).otherwise(F.col("e")).alias("s"),
+        F.when(main | side, T.make_term(2, i=number)).otherwise(named).alias("p"),
+        F.when(main | side, snak_term(snak)).otherwise(T.make_term(4, s=F.col("f.text"))).alias("o"),
+        F.when(main, statement).alias("id"),
+        main.alias("claim"),
+        F.when(main, F.col("f.rank")).alias("rank"),
+        F.when(main | side, snak["property"]).otherwise(what).alias("pkey"),
+    )
     # An unnamed edge is known by its content, the same on every run.
-    plain = plain.withColumn("id", F.md5(F.to_json(F.struct("s", "p", "o"))))
-    claims = items.select(subject, F.explode(F.flatten(F.map_values("claims"))).alias("c"))
-    statement = F.replace(F.col("c.id"), F.lit("$"), F.lit("-"))
-    number = lambda name: F.regexp_extract(name, r"^P(\d+)$", 1).try_cast("bigint")
-    main = claims.select("s", T.make_term(2, i=number(F.col("c.mainsnak.property"))).alias("p"), snak_term(F.col("c.mainsnak")).alias("o"), statement.alias("id"), F.lit(True).alias("claim"), F.col("c.rank").alias("rank"), F.col("c.mainsnak.property").alias("pkey"))
-    out = plain.unionByName(main)
-    if qualifiers:
-        snaks = claims.where("c.qualifiers is not null").select(statement.alias("st"), F.explode(F.flatten(F.map_values("c.qualifiers"))).alias("q"))
-        side = snaks.select(T.make_term(T.CODE["stmt"], s=F.col("st")).alias("s"), T.make_term(2, i=number(F.col("q.property"))).alias("p"), snak_term(F.col("q")).alias("o"), F.lit(False).alias("claim"), F.lit(None).cast("string").alias("rank"), F.col("q.property").alias("pkey"))
-        out = out.unionByName(side.withColumn("id", F.md5(F.to_json(F.struct("s", "p", "o")))))
-    return out.select("s", "p", "o", "id", "claim", "rank", "pkey")
+    return out.withColumn("id", F.coalesce("id", F.when(~F.col("claim"), F.md5(F.to_json(F.struct("s", "p", "o"))))))
 
 
 def read(spark: SparkSession, path: str, languages: list[str] | None = None, qualifiers: bool = True) -> DataFrame:

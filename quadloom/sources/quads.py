@@ -21,9 +21,16 @@ from .base import Part, Source, predicate
 SCHEMA = f"s {T.TERM}, p {T.TERM}, o {T.TERM}, id string, claim boolean, rank string, pkey string"
 
 
+#: Bytes of input that a file of the table is made of, about.
+FILE_BYTES = 256 << 20
+
+
 def _write(quads: DataFrame, path: str, key: str) -> None:
-    # A predicate is spread over at most 64 files, so that a frequent one is not a single task's work.
-    quads.repartition("pkey", F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("pkey", key).write.mode("overwrite").partitionBy("pkey").parquet(path)
+    """Ranges of (predicate, key), as many as the size of the input asks for: a frequent predicate has many files, rare ones share a task and have one each."""
+    size = quads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    parts = -(-size // FILE_BYTES) if 0 < size < 1 << 60 else 0
+    ranges = quads.repartitionByRange(max(int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), "pkey", key)
+    ranges.sortWithinPartitions("pkey", key).write.mode("overwrite").option("maxRecordsPerFile", 20_000_000).partitionBy("pkey").parquet(path)
 
 
 def write(quads: DataFrame, path: str, by_object: str | None = None) -> None:

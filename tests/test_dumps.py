@@ -122,6 +122,37 @@ def test_lookup_reads_one_partition(engine):
     assert "PartitionFilters: [isnotnull(pkey" in plan and "EqualTo(s.i,1)" in plan
 
 
+def test_a_dump_is_read_once(spark, dump):
+    plan = dumps.read(spark, str(dump))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and plan.count("Generate") == 1 and "Exchange" not in plan
+
+
+def test_lookup_by_object_reads_the_copy(engine, table):
+    df = engine.sparql("SELECT ?s WHERE { ?s wdt:P10 wd:Q42 }")
+    assert rows(df) == [(WIKI + "Q1",)] and all("quads-o/" in f for f in df.inputFiles())
+
+
+def test_a_frequent_predicate_has_many_files(spark, tmp_path):
+    many = quads.fixture(spark, "wd:Q1, wdt:P2, wd:Q3, wds:4").crossJoin(spark.range(20_000).toDF("n")).selectExpr("struct(s.k, n AS i, s.d, s.s, s.l) AS s", "p", "o", "cast(n AS string) AS id", "claim", "rank", "pkey")
+    rare = quads.fixture(spark, "; ".join(f"wd:Q{n}, wdt:P{n}, wd:Q3, wds:{n}" for n in range(10, 20)))
+    path = str(tmp_path / "t")
+    quads.write(many.unionByName(rare), path)
+    files = [f.split("pkey=")[1].split("/")[0] for f in quads.read(spark, path).inputFiles()]
+    assert files.count("P2") >= 3 and all(files.count(f"P{n}") == 1 for n in range(10, 20))
+    assert quads.read(spark, path).count() == 20_010
+
+
+def test_label_function(engine):
+    got = engine.sparql('SELECT ?v (wikibase:label(?v, "fr", "de") AS ?l) WHERE { VALUES ?v { wd:Q1 wd:Q42 wd:Q99 } }')
+    assert {r["l"] for r in got.collect()} == {"Universum", "Zweiundvierzig", None}
+    assert rows(engine.sparql('SELECT ?v WHERE { VALUES ?v { wd:Q1 wd:Q42 } FILTER(wikibase:label(?v, "en") = "universe") }')) == [(1,)]
+
+
+def test_labels_are_reduced_before_they_are_aggregated(engine):
+    plan = engine.sparql('SELECT ?v ?vLabel WHERE { VALUES ?v { wd:Q1 } SERVICE wikibase:label { bd:serviceParam wikibase:language "en,de" } }')._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [s") < plan.index("LeftSemi")
+
+
 def test_json(engine):
     out = json.loads("".join(engine.json('SELECT ?v ?n ?nothing WHERE { wd:Q1 wdt:P17 ?v ; wdt:P15 ?n }')))
     assert out["head"]["vars"] == ["v", "n", "nothing"]
@@ -143,6 +174,10 @@ def test_server(engine):
             with pytest.raises(urllib.error.HTTPError) as e:
                 urllib.request.urlopen(base + bad)
             assert e.value.code == 400
+        late = urllib.parse.urlencode({"query": 'SELECT ?v WHERE { wd:Q1 wdt:P2 ?v ; wdt:P7 ?p FILTER(REGEX(?v, CONCAT("(", ?p)))}'})
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(f"{base}/query?{late}")
+        assert e.value.code == 500
     finally:
         web.shutdown()
 
@@ -161,5 +196,7 @@ def test_command_line(spark, dump, tmp_path, capsys):
     assert cli.main(["-d", db, "create-index", "--by-object", db + "-o"]) == 0
     assert quads.read(spark, db + "-o").count() == quads.read(spark, db).count()
     cli.repl(Engine(quads.QuadSource(quads.read(spark, db))), ["SELECT ?v", "WHERE { wd:Q1 wdt:P2 ?v }", "", "nonsense", "", "exit"])
+    by_object = cli.open_engine(spark, db, db + "-o").sparql("SELECT ?s WHERE { ?s wdt:P10 wd:Q42 }")
+    assert by_object.count() == 1 and all("db-o/" in f for f in by_object.inputFiles())
     out = capsys.readouterr().out
     assert "plain" in out and "error:" in out

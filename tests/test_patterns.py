@@ -123,3 +123,42 @@ def test_errors(spark, text):
 
 def test_upper_and_lower_case_variables_differ(ask):
     assert ask("?x wdt:P2 ?X", head="?x ?X") == [(Q + "1", Q + "3")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+LOOSE = "wd:Q1, wdt:P1, wd:Q11, wds:1; wd:Q2, wdt:P1, wd:Q12, wds:2; wd:Q1, wdt:P2, wd:Q21, wds:3; wd:Q3, wdt:P1, wd:Q11, wds:4; wd:Q9, wdt:P3, wd:Q21, wds:5; wd:Q8, wdt:P3, wd:Q22, wds:6; wd:Q9, wdt:P4, wd:Q1, wds:7; wd:Q8, wdt:P4, wd:Q2, wds:8"
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        # ?y is bound for Q1 alone; the other rows are compatible with any.
+        ("SELECT ?x ?y ?z WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } OPTIONAL { ?z wdt:P3 ?y } }", [(1, 21, 9), (2, 21, 9), (2, 22, 8), (3, 21, 9), (3, 22, 8)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } MINUS { ?z wdt:P3 ?y } }", [(2,), (3,)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } MINUS { ?x wdt:P1 wd:Q11 OPTIONAL { ?x wdt:P2 ?y } } }", [(2,)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } FILTER EXISTS { ?z wdt:P3 ?y ; wdt:P4 ?x } }", [(1,), (2,)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } FILTER NOT EXISTS { ?z wdt:P3 ?y ; wdt:P4 ?x } }", [(3,)]),
+        ("SELECT ?x ?z WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } OPTIONAL { ?z wdt:P4 ?x OPTIONAL { ?x wdt:P2 ?y } } }", [(1, 9), (2, 8), (3, None)]),
+        ("SELECT ?x ?e WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } BIND(EXISTS { ?z wdt:P3 ?y ; wdt:P4 ?x } AS ?e) }", [(1, True), (2, True), (3, False)]),
+        # A filter on the outer row inside an expression, an OPTIONAL and a UNION.
+        ("SELECT ?x ?e WHERE { ?x wdt:P1 ?a BIND(IF(EXISTS { ?z wdt:P4 ?x FILTER(?a = wd:Q11) }, 1, 0) AS ?e) }", [(1, 1), (2, 0), (3, 0)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a FILTER(EXISTS { ?z wdt:P4 ?x FILTER(?a = wd:Q12) } || ?x = wd:Q3) }", [(2,), (3,)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a FILTER EXISTS { { ?z wdt:P4 ?x FILTER(?a = wd:Q11) } UNION { ?x wdt:P2 ?b FILTER(?a = wd:Q12) } } }", [(1,)]),
+        ("SELECT ?x WHERE { ?x wdt:P1 ?a FILTER EXISTS { ?z wdt:P4 ?x OPTIONAL { ?z wdt:P3 ?u FILTER(?a = wd:Q11) } FILTER(BOUND(?u)) } }", [(1,)]),
+    ],
+)
+def test_variables_that_may_be_unbound(spark, query, want):
+    df = Engine(QuadSource(fixture(spark, LOOSE))).sparql(query)
+    number = lambda v: int(v.rsplit("Q", 1)[1]) if isinstance(v, str) else v
+    assert sorted((tuple(map(number, r)) for r in df.collect()), key=repr) == sorted(want, key=repr)
+    if "?x } }" in query:
+        assert "BroadcastNestedLoopJoin" not in _plan(df)
+
+
+def test_no_nested_loop_for_unbound_variables(spark):
+    for kind in ("MINUS {", "FILTER EXISTS {", "FILTER NOT EXISTS {", "OPTIONAL {"):
+        df = Engine(QuadSource(fixture(spark, LOOSE))).sparql(f"SELECT ?x WHERE {{ ?x wdt:P1 ?a OPTIONAL {{ ?x wdt:P2 ?y }} {kind} ?x wdt:P1 ?b OPTIONAL {{ ?x wdt:P2 ?y }} }} }}")
+        assert "BroadcastNestedLoopJoin" not in _plan(df) and "CartesianProduct" not in _plan(df)
