@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,7 +121,7 @@ _add("numeric_fns", "SELECT ?c ?a ?r ?u ?d WHERE { ?c wdt:P31 wd:Q4 ; wdt:P12 ?b
 _add("casts", 'SELECT ?p ?a ?b ?c ?d WHERE { ?p wdt:P22 ?z ; wdt:P20 ?t BIND(xsd:string(?z) AS ?a) BIND(xsd:integer(STRAFTER(?t, "#")) AS ?b) BIND(xsd:double(?z) AS ?c) BIND(xsd:integer(?t) AS ?d) }', f"SELECT {P} AS p, p_size::VARCHAR AS a, split_part(p_brand, '#', 2)::BIGINT AS b, p_size::DOUBLE AS c, NULL::BIGINT AS d FROM part")
 _add("date_parts", "SELECT ?o ?y ?m ?d ?h ?mi ?s ?tz WHERE { ?o wdt:P34 ?t BIND(YEAR(?t) AS ?y) BIND(MONTH(?t) AS ?m) BIND(DAY(?t) AS ?d) BIND(HOURS(?t) AS ?h) BIND(MINUTES(?t) AS ?mi) BIND(SECONDS(?t) AS ?s) BIND(TZ(?t) AS ?tz) }", f"SELECT {O_} AS o, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, second(o_orderdate) AS s, 'Z' AS tz FROM orders")
 _add("hashes", "SELECT ?n ?a ?b ?c WHERE { ?n wdt:P31 wd:Q2 ; rdfs:label ?x BIND(MD5(?x) AS ?a) BIND(SHA1(?x) AS ?b) BIND(SHA256(?x) AS ?c) }", f"SELECT {N} AS n, md5(n_name) AS a, sha1(n_name) AS b, sha256(n_name) AS c FROM nation")
-_add("hashes_long", "SELECT ?n (STRLEN(SHA384(?x)) AS ?a) (STRLEN(SHA512(?x)) AS ?b) WHERE { ?n wdt:P31 wd:Q2 ; rdfs:label ?x }", f"SELECT {N} AS n, 96::BIGINT AS a, 128::BIGINT AS b FROM nation")
+_add("hashes_long", "SELECT ?r (SHA384(?x) AS ?a) (SHA512(?x) AS ?b) WHERE { ?r wdt:P31 wd:Q1 BIND(\"a region of the world\" AS ?x) }", f"SELECT {R} AS r, '{hashlib.sha384(b'a region of the world').hexdigest()}' AS a, '{hashlib.sha512(b'a region of the world').hexdigest()}' AS b FROM region")
 _add("random_and_now", "SELECT ?r (RAND() < 1 AS ?a) (STRLEN(STRUUID()) AS ?b) (STRLEN(STR(UUID())) AS ?c) (YEAR(NOW()) > 2000 AS ?d) WHERE { ?r wdt:P31 wd:Q1 }", f"SELECT {R} AS r, true AS a, 36::BIGINT AS b, 45::BIGINT AS c, true AS d FROM region")
 
 # ---- solution modifiers and aggregates

@@ -7,7 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quadloom.queries import ORACLES, QUERIES
+from quadloom import queries, queries_quads
+
+QUERIES, ORACLES = queries.QUERIES | queries_quads.QUERIES, queries.ORACLES | queries_quads.ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
