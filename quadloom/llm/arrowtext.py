@@ -7,18 +7,17 @@ few numpy passes over it, without a Python object per word.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut_lineage as session_checkpoint  # noqa: F401
+
 #: Texts are handled in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 #: Within a chunk, byte-level arrays cover at most about so many bytes at once.
@@ -212,26 +211,6 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only in local mode, where one machine has all files."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="quadloom-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-    return where
-
-
-def session_checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the folder of the session."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 class Sums:
     """Running sums over the hashes of words, from which the digest of any run of words follows at once."""
 

@@ -1,67 +1,62 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in id order, are cut into blocks of ``block_docs``. With
-target weight w (a share of all slots), block j = 1, 2, ... of a source is
-released at slot floor((j - 1) / w) and due by slot ceil(j / w); in each slot
-the released block with the earliest deadline goes next. As the weights add up
-to 1, no deadline is missed and after any t slots a source has more than
-w t - 1 and less than w t + 1 blocks, as long as no source has run out.
-
-Weights are multiples of 1 / period, so the schedule repeats after one period:
-the driver computes that period alone (its cost depends on the number of
-sources, not on the data) and block j's slot follows from j by arithmetic.
-Once a source has run out its slots stay empty and the others keep their order
-among themselves. Nothing is dropped and nothing repeated.
+A source's documents, in id order, are cut into blocks. With target weight w (its exact
+share of all slots), block j = 1, 2, ... of a source is released at slot floor((j - 1) / w)
+and due by slot ceil(j / w); in each slot the released block with the earliest deadline
+goes next. As the weights add up to 1, no deadline is missed, and after any t slots a
+source has more than w t - 1 and less than w t + 1 blocks. Once a source has run out,
+the weights of the others are scaled up to 1 and their windows count from there, so
+that no slot stays empty. Nothing is dropped and nothing repeated.
+
+Weights are exact fractions, nothing is rounded. The schedule is worked out on the driver, so
+its size must not grow with the data: a block is a fixed share of the corpus, and there
+are at most ``BLOCKS`` and one for each source, whatever the number of documents.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import session_checkpoint
 
-BLOCK_DOCS = 16
-PERIOD = 1000
-
-
-def quantise(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source: largest remainders, one at least; the period grows for very many sources."""
-    live = {s: float(w) for s, w in weights.items() if w > 0}
-    if not live:
-        return {}
-    period = max(period, 4 * len(live))
-    total = sum(live.values())
-    exact = {s: w / total * period for s, w in live.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(live, key=lambda s: (int(exact[s]) - exact[s], s))
-    k = 0
-    while sum(slots.values()) < period:
-        slots[order[k % len(order)]] += 1
-        k += 1
-    while sum(slots.values()) > period:
-        slots[max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else -1e9, s))] -= 1
-    return slots
-
-
-def schedule(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, release, deadline, slot) of each block of one period, by slot."""
-    period = sum(slots.values())
-    waiting = [(0, s, 0) for s in sorted(slots)]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []  # deadline, source, block, release
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            release, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j, release))
-        deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, release, deadline, t))
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
+BLOCKS = 1 << 16
+#: Slots of sources without a weight begin here.
+LATE = 1 << 60
+
+
+def schedule(weights: Mapping[str, float], blocks: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks of the sources with a weight, by slot."""
+    left = {s: n for s, n in blocks.items() if n > 0 and weights.get(s, 0) > 0}
+    exact = {s: Fraction(weights[s]) for s in left}
+    common = lcm(*(w.denominator for w in exact.values())) if exact else 1
+    parts = {s: int(w * common) for s, w in exact.items()}
+    done = dict.fromkeys(left, 0)
+    out: list[tuple[str, int, int, int, int]] = []
+    while left:
+        start, whole = len(out), sum(parts[s] for s in left)
+        begun = dict(done)
+        waiting = [(0, s) for s in sorted(left)]
+        ready: list[tuple[int, str, int]] = []  # deadline, source, release
+        for t in range(sum(left.values())):
+            while waiting and waiting[0][0] <= t:
+                release, s = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(done[s] - begun[s] + 1) * whole // parts[s]), s, release))
+            deadline, s, release = heapq.heappop(ready)
+            out.append((s, done[s], start + release, start + deadline, start + t))
+            done[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+            heapq.heappush(waiting, ((done[s] - begun[s]) * whole // parts[s], s))
     return out
 
 
@@ -82,13 +77,25 @@ def ranked(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source")
     return local.join(counts.select("source", "part", (before - F.col("first")).alias("shift")), ["source", "part"]).select("doc_id", "source", (F.col("at") + F.col("shift")).alias("rank"))
 
 
-def default_weights(docs: DataFrame, source_col: str = "source") -> dict[str, float]:
-    """Square roots of the sources' document counts over the whole table: large sources lead, small ones are not drowned."""
-    counts = docs.groupBy(F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source")).count().collect()
-    return {r["source"]: r["count"] ** 0.5 for r in counts}
+def default_weights(counts: Mapping[str, int]) -> dict[str, float]:
+    """Square roots of the sources' document counts: large sources lead, small ones are not drowned."""
+    return {s: n**0.5 for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def _plan(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The ranked rows with their block, and the schedule; both from counts over the whole table."""
+    spark = docs.sparkSession
+    r = ranked(docs, id_col, source_col)
+    counts = {x["source"]: x["count"] for x in docs.groupBy(F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source")).count().collect()}
+    size = max(1, -(-sum(counts.values()) // blocks))
+    plan = schedule(default_weights(counts) if weights is None else weights, {s: -(-n // size) for s, n in counts.items()})
+    names = ("source", "block", "release", "deadline", "slot")
+    columns = list(zip(*plan, strict=True)) or [()] * 5
+    table = spark.createDataFrame(pa.table({n: pa.array(c, pa.string() if n == "source" else pa.int64()) for n, c in zip(names, columns, strict=True)}))
+    return r.withColumn("block", F.expr(f"rank div {size}L")).withColumn("position", F.expr(f"cast(rank % {size}L as int)")), table
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, position for each row of docs.
 
     block counts from 0 within the source; release, deadline and slot are in
@@ -98,37 +105,48 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     share an id each have a place; null ids come first in their source.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    weights = default_weights(docs, source_col) if weights is None else weights
-    slots = quantise(weights, period)
-    total = sum(slots.values())
-    plan = spark.createDataFrame(schedule(slots), "source string, k bigint, release0 bigint, deadline0 bigint, slot0 bigint")
-    share = spark.createDataFrame(list(slots.items()) or [], "source string, per bigint")
-    r = ranked(docs, id_col, source_col).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("position", F.pmod(F.col("rank"), F.lit(block_docs)))
-    r = r.join(share, "source", "left").withColumn("k", F.when(F.col("per") > 0, F.pmod(F.col("block"), F.col("per")))).withColumn("base", F.expr(f"(block div per) * {total}"))
-    r = r.join(plan, ["source", "k"], "left")
-    late = F.lit(1 << 60) + F.col("block")  # sources without a weight
-    place = lambda name: F.when(F.col("per").isNull(), late).otherwise(F.col("base") + F.col(name))
-    return r.select("doc_id", "source", F.col("block").cast("bigint").alias("block"), place("release0").alias("release"), place("deadline0").alias("deadline"), place("slot0").alias("slot"), F.col("position").cast("int").alias("position"))
-
-
-def _with_place(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, block_docs: int, period: int) -> DataFrame:
-    """docs with __ql_place(slot, source, position); rows that share (id, source) have the first of their places."""
-    places = mix(docs, weights, id_col, source_col, block_docs, period)
-    places = places.groupBy(F.col("doc_id").alias("__ql_id"), F.col("source").alias("__ql_source")).agg(F.min(F.struct("slot", "source", "position")).alias("__ql_place"))
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("__ql_id")) & (F.coalesce(docs[source_col].cast("string"), F.lit("")) == F.col("__ql_source"))
-    return docs.join(places, same, "left")
-
-
-def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """docs, all rows, with slot and position; (slot, source, position) is the mix. Columns of docs that bear these names are replaced."""
-    own = (F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "position"))
-    return _with_place(docs, weights, id_col, source_col, block_docs, period).select(*own, F.col("__ql_place.slot").alias("slot"), F.col("__ql_place.position").alias("position"))
+    r, plan = _plan(docs, weights, id_col, source_col, blocks)
+    r = r.join(F.broadcast(plan), ["source", "block"], "left")  # at most blocks rows and one for each source
+    place = lambda name: F.coalesce(name, F.lit(LATE) + F.col("block")).alias(name)
+    return r.select("doc_id", "source", "block", place("release"), place("deadline"), place("slot"), "position")
 
 
-def reorder(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """docs, all columns and rows, sorted into the mix.
+def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
+    """docs, all rows, with the column slot (replaced if docs has one), without a shuffle of the texts; (slot, source, id) is the mix.
 
-    Rows that share (id, source) take the first of their places.
+    Each block's last id and slot are sent to all tasks, which look up a row's id
+    among them; rows that share (id, source) take the first of their blocks.
     """
-    return _with_place(docs, weights, id_col, source_col, block_docs, period).orderBy("__ql_place").select(*(F.col(f"`{c}`") for c in docs.columns))
+    r, plan = _plan(docs, weights, id_col, source_col, blocks)
+    least = -(1 << 63)  # null ids come first
+    ends = r.groupBy("source", "block").agg(F.coalesce(F.max("doc_id"), F.lit(least)).alias("last"))
+    ends = ends.join(F.broadcast(plan), ["source", "block"], "left").select("source", "last", F.coalesce("slot", F.lit(LATE) + F.col("block")).alias("slot"))
+    table = ends.sort("source", "last", "slot").toArrow()
+    names = np.asarray(table.column("source").to_pylist(), object)
+    last, slot = (table.column(c).to_numpy() for c in ("last", "slot"))
+    cuts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, int)
+    held = docs.sparkSession.sparkContext.broadcast({names[a]: (last[a:b], slot[a:b]) for a, b in zip(cuts, [*cuts[1:], len(names)][: len(cuts)], strict=True)})
+    own = [c for c in docs.columns if c != "slot"]
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(len(own)).fill_null(least).to_numpy()
+            source = np.asarray(batch.column(len(own) + 1).to_pylist(), object)
+            out = np.zeros(batch.num_rows, np.int64)
+            for name in set(source.tolist()):
+                rows = np.flatnonzero(source == name)
+                last, slot = held.value[name]
+                out[rows] = slot[np.searchsorted(last, ids[rows])]
+            yield pa.record_batch([*batch.columns[: len(own)], pa.array(out)], names=[*own, "slot"])
+
+    schema = docs.select(*(f"`{c}`" for c in own), F.lit(0).cast("bigint").alias("slot")).schema
+    keyed = docs.select(*(docs[f"`{c}`"] for c in own), docs[id_col].cast("bigint").alias("__ql_id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("__ql_source"))
+    return keyed.mapInArrow(run, schema)
+
+
+def reorder(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
+    """docs, all columns and rows, sorted into the mix; the sort is the one shuffle of the texts."""
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # no name can clash with slot
+    out = placed(docs.toDF(*inner), weights, inner[names.index(id_col)], inner[names.index(source_col)], blocks)
+    return out.orderBy("slot", inner[names.index(source_col)], inner[names.index(id_col)]).select(*inner).toDF(*names)

@@ -1,10 +1,10 @@
 """Sharding, decontamination, mixing and the pipeline."""
 
 import hashlib
-import heapq
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -120,53 +120,57 @@ def test_decontamination_edges(spark):
 # ---- mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 97, "b": 2, "c": 1}, {str(k): k * k + 1 for k in range(17)}])
-def test_schedule_keeps_every_deadline_and_the_lag_bound(weights):
-    slots = mixing.quantise(weights)
-    plan = mixing.schedule(slots)
-    period = sum(slots.values())
-    assert [t for *_, t in plan] == list(range(period)) and all(release <= t < deadline for _, _, release, deadline, t in plan)
-    count = Counter()
-    for s, *_, t in plan:
-        count[s] += 1
-        assert all(abs(count[x] - slots[x] * (t + 1) / period) < 1 for x in slots)
-
-
-def mixed(rows, weights, block):
-    """Earliest deadline first, slot by slot, over all blocks; empty slots where the source has run out."""
-    slots = mixing.quantise(weights)
-    period = sum(slots.values())
-    by = {}
-    for i, _, _, source in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
-        by.setdefault(source or "", []).append(i)
-    out = []
-    for s, ids in by.items():
-        for k, i in enumerate(ids):
-            if s in slots:
-                out.append((i, s, k // block, k % block))
-    longest = max(len(x) // block + 1 for x in by.values())
-    waiting = [(j * period // n, s, j) for s, n in slots.items() for j in range(longest + n)]
-    heapq.heapify(waiting)
-    ready, where, t = [], {}, 0
-    need = {(s, b) for _, s, b, _ in out}
-    while need:
-        while waiting and waiting[0][0] <= t:
-            release, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        where[s, j] = t
-        need.discard((s, j))
-        t += 1
-    return Counter((i, s, b, p, where[s, b]) for i, s, b, p in out)
+def test_schedule_keeps_every_deadline_and_the_bound_of_the_exact_weights():
+    r = random.Random(3)
+    for _ in range(30):
+        names = [f"s{k}" for k in range(r.randint(1, 25))]
+        weights = {s: r.choice((1e-5, 0.1, 1 / 3, 2**0.5, 40, r.random())) for s in names}
+        blocks = {s: r.randint(0, 400) for s in names}
+        plan = mixing.schedule(weights, blocks)
+        assert [x[4] for x in plan] == list(range(sum(blocks.values()))) and Counter(x[0] for x in plan) == Counter({s: n for s, n in blocks.items() if n})
+        assert all(release <= slot < deadline for _, _, release, deadline, slot in plan)
+        # Between two slots at which a source runs out, each live one is within a block of its exact share.
+        left, count, live, t0 = dict(blocks), Counter(), None, 0
+        for s, block, *_, slot in plan:
+            now = sorted(x for x in names if left[x])
+            if now != live:
+                live, t0, count, total = now, slot, Counter(), sum(Fraction(weights[x]) for x in now)
+            assert block == blocks[s] - left[s]
+            left[s] -= 1
+            count[s] += 1
+            assert all(abs(count[x] - Fraction(weights[x]) / total * (slot + 1 - t0)) < 1 for x in live)
+
+
+def test_tiny_weights_are_not_rounded_up():
+    plan = mixing.schedule({"web": 0.99999, "tiny": 0.00001}, {"web": 300_000, "tiny": 9})
+    slots = [x[4] for x in plan if x[0] == "tiny"]
+    assert [k for k in range(3) if not k * 100_000 <= slots[k] < (k + 1) * 100_000 + 1] == []
 
 
 def test_mixing_equals_brute_force(spark):
     r = random.Random(7)
     rows = brute.messy() + [(1000 + k, "t", "en", r.choice(["a", "b", "b", "c"])) for k in range(300)]
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    got = mixing.mix(brute.table(spark, rows), weights, block_docs=4).collect()
+    got = mixing.mix(brute.table(spark, rows), weights, blocks=90).collect()
+    size = -(-len(rows) // 90)
+    by = {}
+    for i, _, _, source in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        by.setdefault(source or "", []).append(i)
+    # In each slot, of the sources whose next block is released, the one with the earliest deadline.
+    left = {s: [by[s][k : k + size] for k in range(0, len(by[s]), size)] for s in weights}
+    want, t = Counter(), 0
+    while any(left.values()):
+        live = [s for s in weights if left[s]]
+        total, t0, taken = sum(Fraction(weights[s]) for s in live), t, Counter()
+        while all(left[s] for s in live):
+            free = [s for s in live if taken[s] * total / Fraction(weights[s]) < t - t0 + 1 and taken[s] * total // Fraction(weights[s]) <= t - t0]
+            s = min(free, key=lambda s: (math.ceil((taken[s] + 1) * total / Fraction(weights[s])), s))
+            block = len(range(0, len(by[s]), size)) - len(left[s])
+            want.update((i, s, block, p, t) for p, i in enumerate(left[s].pop(0)))
+            taken[s] += 1
+            t += 1
     assert len(got) == len(rows)
-    assert Counter((x.doc_id, x.source, x.block, x.position, x.slot) for x in got if x.source in weights) == mixed([x for x in rows if x[3]], weights, 4)
+    assert Counter((x.doc_id, x.source, x.block, x.position, x.slot) for x in got if x.source in weights) == want
     assert all(x.slot > 1 << 59 for x in got if x.source not in weights)  # '' has no target weight
     assert all(x.release <= x.slot < x.deadline for x in got if x.source in weights)
 
@@ -175,6 +179,12 @@ def test_reorder_keeps_every_row(spark):
     docs = brute.table(spark, brute.messy())
     out = mixing.reorder(docs)
     assert out.columns == docs.columns and Counter(map(repr, out.collect())) == Counter(map(repr, docs.collect()))
+    place = {}
+    for x in mixing.mix(docs, blocks=12).collect():
+        place[x.doc_id, x.source] = min(place.get((x.doc_id, x.source), 1 << 62), x.slot)
+    assert all(x.slot == place[x.doc_id, x.source or ""] for x in mixing.placed(docs, blocks=12).collect())
+    got = [place[x.doc_id, x.source or ""] for x in mixing.reorder(docs, blocks=12).collect()]
+    assert got == sorted(got) and len(set(got)) > 8
     assert mixing.mix(brute.table(spark, [])).count() == 0 and mixing.reorder(brute.table(spark, [])).count() == 0
 
 
@@ -243,7 +253,7 @@ def test_mix_stage_is_in_the_mix_order(spark, tmp_path):
     docs = brute.table(spark, rows)
     dict(corpus_pipeline.STAGES)["mix"](spark, docs, "").write.parquet(f"{tmp_path}/mix")
     got = [x.doc_id for x in spark.read.parquet(f"{tmp_path}/mix").collect()]
-    place = {x.doc_id: (x.slot, x.source, x.position) for x in mixing.mix(docs).collect()}
+    place = {x.doc_id: (x.slot, x.source, x.doc_id) for x in mixing.mix(docs).collect()}
     assert got == sorted(got, key=place.get)
 
 
@@ -256,9 +266,8 @@ def test_run_is_in_the_mix_order_with_files_of_different_sizes(spark, tmp_path):
     try:
         docs = corpus_pipeline.run(spark, str(tmp_path))
         got = [x.doc_id for x in docs.collect()]
-        docs = docs.localCheckpoint()
-        place = {x.doc_id: (x.slot, x.source, x.position) for x in mixing.mix(docs).collect()}
-        kept = {x.doc_id: (x.slot, x.source, x.position) for x in corpus_pipeline.assign_shards(spark, docs, "").collect()}
+        place = {x.doc_id: (x.slot, x.source, x.doc_id) for x in mixing.mix(docs).collect()}
+        kept = {x.doc_id: (x.slot, x.source, x.doc_id) for x in corpus_pipeline.assign_shards(spark, docs, "").collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) > 300 and got == sorted(got, key=place.get) and kept == place
