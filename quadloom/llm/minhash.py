@@ -110,7 +110,7 @@ def _signature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in A.chunks(batch, 1):
-                some, symbols = signatures(*A.as_bytes(part.column(1)))
+                some, symbols = signatures(*A.folded(part.column(1)))
                 if len(some):
                     flat = pa.py_buffer(np.ascontiguousarray(symbols).tobytes())
                     offsets = pa.py_buffer((np.arange(len(some) + 1) * 2 * SYMBOLS).astype(np.int32).tobytes())
@@ -225,9 +225,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document that is near to all that any of its rows is near to. An empty
     table gives no rows.
     """
-    sig = _signature_rows(docs, id_col, text_col).withColumn("rep", F.min("doc_id").over(Window.partitionBy("sig")))
-    sig = A.session_checkpoint(sig)
-    reps = sig.where("doc_id = rep").select("doc_id", "sig").distinct()
+    # Equal signatures are one document from here on. The aggregation combines on the map side, so that a text which is
+    # a third of the corpus is no task's burden; the join back to its copies is split by the skew join.
+    sig = A.session_checkpoint(_signature_rows(docs, id_col, text_col))
+    reps = A.session_checkpoint(sig.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sig"))
     key_rows = reps.mapInArrow(_key_rows, "key bigint, doc_id bigint")
     buckets = key_rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_buckets, "members array<bigint>").distinct()
     buckets = A.session_checkpoint(buckets.withColumn("bucket", F.xxhash64("members", F.size("members"))))
@@ -235,13 +236,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = member.join(reps, "doc_id").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "sig"))).alias("m")).select("m")
     near = full.mapInArrow(_links, "u bigint, v bigint")
     root = connected(near)
-    same = sig.join(root.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-    same = same.select("doc_id", F.coalesce("root", "rep").alias("duplicate_of"))
+    tops = reps.join(root.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").select("sig", F.coalesce("root", "doc_id").alias("duplicate_of"))
+    same = A.session_checkpoint(sig.join(tops, "sig").select("doc_id", "duplicate_of"))
     # An id with several texts belongs to several signatures: tie their groups together.
-    same = A.session_checkpoint(same.withColumn("first", F.min("duplicate_of").over(Window.partitionBy("doc_id"))))
-    ties = same.where("duplicate_of <> first")
-    out = same.select("doc_id", F.col("first").alias("duplicate_of"))
-    if not ties.isEmpty():
+    firsts = same.groupBy("doc_id").agg(F.min("duplicate_of").alias("first"), F.max("duplicate_of").alias("last"))
+    firsts = A.session_checkpoint(firsts)
+    out = firsts.select("doc_id", F.col("first").alias("duplicate_of"))
+    several = firsts.where("first <> last")
+    if not several.isEmpty():
+        ties = same.join(several.select("doc_id", "first"), "doc_id").where("duplicate_of <> first")
         again = connected(ties.select(F.col("duplicate_of").alias("u"), F.col("first").alias("v")))
         out = out.join(again.select(F.col("u").alias("duplicate_of"), F.col("v").alias("top")), "duplicate_of", "left").select("doc_id", F.coalesce("top", "duplicate_of").alias("duplicate_of"))
     return out.where("doc_id <> duplicate_of").distinct()

@@ -222,7 +222,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         kept += [x for x, y in zip(own, d, strict=True) if y <= quality_rules.CUTOFF]
     kept.sort()
     assert not any(300 <= x[0] < 306 for x in kept)
-    _, sig = minhash.signatures(*A.as_bytes(pa.array([x[1] for x in kept])))
+    _, sig = minhash.signatures(*A.folded(pa.array([x[1] for x in kept])))
     top = brute.groups(len(kept), lambda a, b: (sig[a] != sig[b]).sum() <= minhash.RADIUS)
     kept = [x for k, x in enumerate(kept) if top[k] == k]
     assert not any(400 <= x[0] < 415 for x in kept)
