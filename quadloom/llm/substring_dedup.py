@@ -9,7 +9,7 @@ a cut (the start of a line is one) and goes on to the first cut, or the end of
 the text, that is ``min_words`` words or more away; units overlap.
 
 Units are normalised (case folded, white space collapsed, a word for each
-character in scripts without spaces) and reduced to a 128-bit digest, digests are
+character in scripts without spaces) and reduced to a 96-bit digest, digests are
 grouped over the whole corpus, and the occurrence with the smallest (id, text key,
 offset) stays; the others go, with their offsets in the original text.
 """
@@ -18,21 +18,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
+from .line_dedup import text_key
 
 MIN_WORDS = 25
 REACH = 4
 
-UNITS = "doc_id bigint, text_key bigint, start int, length int, n_words int, h1 bigint, h2 bigint"
-_UNITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("n_words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
-
-
-def text_key(text: Column) -> Column:
-    """60 bits that tell texts under one id apart."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+UNITS = "doc_id bigint, text_key int, start int, length int, n_words int, h1 bigint, h2 int"
+_UNITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("n_words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
 
 
 def value(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -81,7 +77,7 @@ def _unit_rows(ids: pa.Array, keys: pa.Array, raw: np.ndarray, offsets: np.ndarr
     begins = np.append(words.start, len(raw))
     stop = np.where(b == first[doc + 1], offsets[doc + 1], begins[b])
     start = chars[words.start[a]]
-    columns = [(start - chars[offsets[doc]]).astype(np.int32), (chars[stop] - start).astype(np.int32), (b - a).astype(np.int32), sums.digest(0, a, b).view(np.int64), sums.digest(1, a, b).view(np.int64)]
+    columns = [(start - chars[offsets[doc]]).astype(np.int32), (chars[stop] - start).astype(np.int32), (b - a).astype(np.int32), sums.digest(0, a, b).view(np.int64), (sums.digest(1, a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)]
     return pa.record_batch([ids.take(pa.array(doc)), keys.take(pa.array(doc)), *map(pa.array, columns)], schema=_UNITS)
 
 
@@ -151,7 +147,7 @@ def oracle(table: str = "documents", min_words: int = MIN_WORDS, reach: int = RE
     number = "('0x' || {})::UBIGINT"
     head, tail = number.format("left(hex(word), 4)"), number.format("right(hex(word), 4)")
     return f"""
-WITH l AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS text_key, text FROM {table} WHERE doc_id IS NOT NULL AND text <> ''),
+WITH l AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(text), 1, 7))::INTEGER AS text_key, text FROM {table} WHERE doc_id IS NOT NULL AND text <> ''),
 p AS (SELECT doc_id, text_key, unnest(regexp_extract_all(lower(text), '^[{space}]+|[{alone}][{space}]*|[^{space}{alone}]+[{space}]*')) AS piece, generate_subscripts(regexp_extract_all(lower(text), '^[{space}]+|[{alone}][{space}]*|[^{space}{alone}]+[{space}]*'), 1) AS pos FROM l),
 w AS (SELECT doc_id, text_key, regexp_replace(piece, '[{space}]+$', '') AS word, row_number() OVER ({over.replace("BY k", "BY pos")}) - 1 AS k, start, after_line
   FROM (SELECT *, sum(length(piece)) OVER ({over.replace("BY k", "BY pos")}) - length(piece) AS start, lag(contains(piece, chr(10))) OVER ({over.replace("BY k", "BY pos")}) AS after_line FROM p) WHERE regexp_replace(piece, '[{space}]+$', '') <> ''),

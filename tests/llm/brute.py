@@ -75,7 +75,7 @@ def unit_repeats(rows, min_words, reach):
         return (int.from_bytes(b[:2], "big") * 40503 + int.from_bytes(b[-2:], "big") * 10007 + len(b) * 97) * 2654435761 % 2**32
 
     units = []
-    for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None and t}, key=lambda x: (x[0], key_of(x[1], 15))):
+    for i, t in sorted({(i, t) for i, t, *_ in rows if i is not None and t}, key=lambda x: (x[0], key_of(x[1], 7))):
         words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(f"[{SPACELESS}]|[^\\x00-\\x20{SPACELESS}]+", t)]
         v = [value(w) for *_, w in words]
         n = len(v)
@@ -84,7 +84,7 @@ def unit_repeats(rows, min_words, reach):
             b = min((k for k in [*cuts, n] if k >= a + min_words), default=None)
             if b is not None:
                 stop = len(t) if b == n else words[b][0]
-                units.append((i, key_of(t, 15), words[a][0], stop - words[a][0], b - a, tuple(w for *_, w in words[a:b])))
+                units.append((i, key_of(t, 7), words[a][0], stop - words[a][0], b - a, tuple(w for *_, w in words[a:b])))
     first = {}
     out = []
     for u in units:
