@@ -283,12 +283,12 @@ def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """The rows of docs that judge() keeps, all columns; rows without an id stay.
 
     With few pools their parameters travel to the scan and each row is judged
-    there, without a shuffle of texts; with very many, rejected ids are joined.
+    there, without a shuffle of texts; with very many, they are joined to the
+    rows. Either way each row is judged by its own text, also if rows share an id.
     """
     x, groups, parameters = _judged(docs, id_col, text_col, lang_col, source_col, min_group)
     if groups.count() > MAX_BROADCAST_GROUPS:
-        gone = x.join(parameters, "g").where(_distance(0) > cutoff).select(F.col("doc_id").alias("__ql_id"))
-        return docs.join(gone, docs[id_col].cast("bigint") == gone["__ql_id"], "left_anti")
+        return _accept_joined(docs, groups.join(parameters, "g"), id_col, text_col, lang_col, source_col, cutoff)
     known = {r["g"]: (np.array(r["m0"]), _square(np.array([r["p0"]]))[0]) for r in parameters.collect()}
     table = {(r["lang"], r["source"]): known[r["g"]] for r in groups.collect() if r["g"] in known}
     at = [docs.columns.index(c) for c in (text_col, id_col, lang_col, source_col)]
@@ -312,3 +312,25 @@ def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _accept_joined(docs: DataFrame, pools: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, cutoff: float) -> DataFrame:
+    """accept() with the parameters of each row's pool joined to it."""
+    names = docs.columns
+    of = lambda c: F.coalesce(docs[f"`{c}`"].cast("string"), F.lit(""))
+    pools = pools.select(F.col("lang").alias("__ql_lang"), F.col("source").alias("__ql_source"), F.col("m0").alias("__ql_m"), F.col("p0").alias("__ql_p"))
+    both = docs.join(pools, (of(lang_col) == pools["__ql_lang"]) & (of(source_col) == pools["__ql_source"]), "left")
+    text_at, id_at, n = names.index(text_col), names.index(id_col), len(names)
+
+    def run(batches):
+        for batch in batches:
+            for part in A.chunks(batch, text_at):
+                some = np.flatnonzero(part.column(n).is_valid().to_numpy(zero_copy_only=False) & part.column(id_at).is_valid().to_numpy(zero_copy_only=False))
+                keep = np.ones(part.num_rows, bool)
+                if len(some):
+                    away = statistics(*A.as_bytes(part.column(text_at)))[some] - np.stack(part.column(n).take(pa.array(some)).to_numpy(zero_copy_only=False))
+                    inverse = _square(np.stack(part.column(n + 1).take(pa.array(some)).to_numpy(zero_copy_only=False)))
+                    keep[some] = np.einsum("ni,nij,nj->n", away, inverse, away) <= cutoff
+                yield pa.record_batch(part.columns[:n], names=names).filter(pa.array(keep))
+
+    return both.select(*(docs[f"`{c}`"] for c in names), "__ql_m", "__ql_p").mapInArrow(run, docs.schema)

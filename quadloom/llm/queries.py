@@ -72,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(),
     "op5_substring_dedup": substring_dedup.oracle(),
+    "op9_decontamination": decontaminate.oracle(),
     "op7_sharding": sharding.oracle(),
 }

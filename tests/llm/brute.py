@@ -128,8 +128,8 @@ def leaks(text, items, min_tokens, min_short, min_share):
                 n = 0
                 while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
                     n += 1
-                for m in range(min_short, n + 1):
-                    if m >= min_tokens or m >= min_share * len(v):
+                for m in range(1, n + 1):
+                    if m >= min_short and (m >= min_tokens or m >= min_share * len(v)) or 3 <= len(v) == m < min_short:
                         spans.append((a, a + m, i))
     covered = sorted({k for a, b, _ in spans for k in range(a, b)})
     merged = []

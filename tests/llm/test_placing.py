@@ -65,7 +65,7 @@ def test_movement_stays_in_the_subtree_and_shares_follow_weights(spark):
 
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(4)
-    items = [(k, brute.words_text(r, r.randint(3, 40))) for k in range(12)] + [(50, None), (51, ""), (None, "an item without id"), (52, "one two three four"), (53, "one two three four five")]
+    items = [(k, brute.words_text(r, r.randint(3, 40))) for k in range(12)] + [(50, None), (51, ""), (None, "an item without id"), (52, "one two three four"), (53, "one two three four five"), (54, "nur drei Wörter"), (55, "zwei nur"), (56, "这是一个没有空格的测试题目"), (57, "ВОПРОС на другом языке без ответа")]
     rows = brute.messy(n=10)
     rows = [x for x in rows if x[0] not in (103, 104)]
     for k in range(40):
@@ -76,6 +76,7 @@ def test_decontamination_equals_brute_force(spark):
             at = r.randrange(len(w) + 1)
             w[at:at] = v[a : a + r.randint(2, 25)]
         rows.append((400 + k, " ".join(w).capitalize() + ".", "en", "a"))
+    rows += [(501, "davor NUR drei WÖRTER danach zwei nur", "de", "a"), (502, "前面这是一个没有空格的测试题目后面", "zh", "a"), (503, "вопрос На Другом языке Без ОТВЕТА", "ru", "a"), (504, "nur drei one two three four", "en", "a")]
     rows.append((500, "Ünd ONE, two; three\nfour -- five six", "en", "a"))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = brute.table(spark, rows)
@@ -196,7 +197,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name])
     names = [d[0] for d in want.description]
     got = queries.QUERIES[name](spark, SF).select(*names).collect()
