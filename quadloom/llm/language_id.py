@@ -174,6 +174,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return net
 
 
+def _judged(net: Network | None, texts: pa.Array, declared: list[str | None]) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """lang, probability, number of windows and keep of each text."""
+    n = len(texts)
+    total, weight, count = np.zeros((n, len(net.languages) if net else 1)), np.zeros(n), np.zeros(n, np.int32)
+    if net:
+        x, text, length = windows(*A.as_bytes(texts))
+        scores = np.concatenate([np.zeros((0, len(net.languages))), *(net.log_probabilities(x[a : a + BATCH]) for a in range(0, len(x), BATCH))])
+        for k in range(total.shape[1]):
+            total[:, k] = np.bincount(text, scores[:, k] * length, n)
+        weight, count = np.bincount(text, length, n), np.bincount(text, minlength=n).astype(np.int32)
+    best = total.argmax(axis=1)
+    there = weight > 0
+    lang = [net.languages[b] if t else None for b, t in zip(best.tolist(), there.tolist(), strict=True)]
+    p = np.exp(total[np.arange(n), best] / np.maximum(weight, 1))
+    keep = [x is None or d is None or x == d or q < CONFIDENT for x, d, q in zip(lang, declared, p.tolist(), strict=True)]
+    return pa.array(lang, pa.string()), pa.array(p, mask=~there), pa.array(count), pa.array(keep)
+
+
 def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, probability, n_windows, declared, keep for each row with an id.
 
@@ -187,29 +205,24 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
     held = docs.sparkSession.sparkContext.broadcast(net)  # a few tens of thousands of weights, at any size of docs
 
     def run(batches):
-        net = held.value
         for batch in batches:
             for part in A.chunks(batch, 1):
-                n = part.num_rows
-                declared = part.column(2).to_pylist()
-                total, weight, count = np.zeros((n, len(net.languages) if net else 1)), np.zeros(n), np.zeros(n, np.int32)
-                if net:
-                    x, text, length = windows(*A.as_bytes(part.column(1)))
-                    scores = np.concatenate([np.zeros((0, len(net.languages))), *(net.log_probabilities(x[a : a + BATCH]) for a in range(0, len(x), BATCH))])
-                    for k in range(total.shape[1]):
-                        total[:, k] = np.bincount(text, scores[:, k] * length, n)
-                    weight, count = np.bincount(text, length, n), np.bincount(text, minlength=n).astype(np.int32)
-                best = total.argmax(axis=1)
-                there = weight > 0
-                lang = [net.languages[b] if t else None for b, t in zip(best.tolist(), there.tolist(), strict=True)]
-                p = np.exp(total[np.arange(n), best] / np.maximum(weight, 1))
-                keep = [x is None or d is None or x == d or q < CONFIDENT for x, d, q in zip(lang, declared, p.tolist(), strict=True)]
-                yield pa.record_batch([part.column(0), pa.array(lang, pa.string()), pa.array(p, mask=~there), pa.array(count), pa.array(declared, pa.string()), pa.array(keep)], names=["doc_id", "lang", "probability", "n_windows", "declared", "keep"])
+                lang, probability, count, keep = _judged(held.value, part.column(1), part.column(2).to_pylist())
+                yield pa.record_batch([part.column(0), lang, probability, count, part.column(2), keep], names=["doc_id", "lang", "probability", "n_windows", "declared", "keep"])
 
     return A.ids_and_texts(docs, id_col, text_col, lang_col, "declared").mapInArrow(run, _OUT)
 
 
 def accept(docs: DataFrame, network: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that identify() keeps; rows without an id stay."""
-    gone = identify(docs, network, id_col, text_col, lang_col).where("not keep").select(F.col("doc_id").alias("__ql_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["__ql_id"], "left_anti")
+    """The rows of docs that identify() keeps, each judged by its own text, also if rows share an id; rows without an id stay."""
+    net = network or fit(docs, id_col, text_col, lang_col)
+    held = docs.sparkSession.sparkContext.broadcast(net)
+    at = [docs.columns.index(c) for c in (text_col, lang_col, id_col)]
+
+    def run(batches):
+        for batch in batches:
+            for part in A.chunks(batch, at[0]):
+                *_, keep = _judged(held.value, part.column(at[0]), [None if x is None else str(x) for x in part.column(at[1]).to_pylist()])
+                yield part.filter(pa.array(np.asarray(keep, bool) | np.asarray(part.column(at[2]).is_null())))
+
+    return docs.mapInArrow(run, docs.schema)

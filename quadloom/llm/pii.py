@@ -4,8 +4,8 @@ Tokens are runs of letters and digits, held together by single ``@ . _ -``
 between them. Each has features of its own shape (with and without the lengths
 of digit runs), its size and alphabet, and of its neighbours' shapes and cue
 words. The field has a label O and B-/I- labels for each kind, is trained by
-gradient ascent on a small labelled table (``labelled_table``, generated from
-templates), and is decoded by Viterbi in numpy batches.
+gradient ascent on a small labelled table (the caller's, or ``labelled_table``, generated
+from templates), and is decoded by Viterbi in numpy batches.
 
 One constraint of the field keeps the lattice small: a token without a digit,
 without an ``@`` and shorter than ``LONG`` bytes can only be O. Such tokens cut
@@ -31,6 +31,8 @@ LONG = 24
 EPOCHS = 90
 SENTENCES = 700
 L2 = 2e-4
+#: Labelled rows that a field is trained on, at most about.
+MAX_LABELLED = 20_000
 
 SPANS = "doc_id bigint, start bigint, length bigint, kind string"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string())])
@@ -238,10 +240,32 @@ def _allowed() -> np.ndarray:
     return t
 
 
-@lru_cache(maxsize=4)
-def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> Field:
-    """The field fitted to labelled_table() by Adam on the penalised log likelihood."""
-    table = labelled_table(sentences, seed)
+def labelled_rows(table: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """A labelled table (text string, spans array<struct<start, length, kind>>, in characters) for train().
+
+    Of a larger table a hash sample of at most about most rows is used, the bound on what the driver
+    holds. Null texts are left out; null spans are none; kinds other than KINDS are an error.
+    """
+    rows = table.where("text is not null").select("text", "spans")
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    out = []
+    for r in rows.sort("text").toLocalIterator():
+        places = np.append(0, np.cumsum([len(c.encode()) for c in r["text"]]))
+        out.append((r["text"], [(int(places[x["start"]]), int(places[x["start"] + x["length"]]), x["kind"]) for x in sorted(r["spans"] or [], key=lambda x: x["start"])]))
+    return out
+
+
+@lru_cache(maxsize=1)
+def _default() -> Field:
+    return train(labelled_table())
+
+
+def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, epochs: int = EPOCHS) -> Field:
+    """The field fitted by Adam on the penalised log likelihood to a table of (text, [(first byte, end byte, kind)])."""
+    if table is None:
+        return _default()
     raw, offsets = A.as_bytes(pa.array([t for t, _ in table]))
     tokens = Tokens(raw, offsets)
     rows = np.flatnonzero(tokens.live)
@@ -275,6 +299,10 @@ def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> F
     free = hard == 0
     lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
     w, tr = field.weights, np.zeros((k, k))
+    # All places of a feature, so that its gradient is one sum over a range.
+    order = np.argsort(index, axis=None, kind="stable")
+    feature, row = index.ravel()[order], order // index.shape[1]
+    begin = np.flatnonzero(np.concatenate(([True], feature[1:] != feature[:-1])))
     moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(tr), np.zeros_like(tr)]]
     for epoch in range(1, epochs + 1):
         e = w[index].sum(axis=1)[at]
@@ -297,8 +325,7 @@ def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> F
         flat[at[there]] = marginal[there]
         grad = np.zeros_like(w)
         diff = (one - flat) / n
-        for column in range(index.shape[1]):
-            np.add.at(grad, index[:, column], diff)
+        grad[feature[begin]] = np.add.reduceat(diff[row], begin, axis=0)
         grads = [grad - L2 * w, ((pairs - expect) / n - L2 * tr) * free]
         for p, g, (m, v) in zip((w, tr), grads, moments, strict=True):
             m += 0.1 * (g - m)

@@ -59,6 +59,17 @@ def test_quality_accept_equals_judge(spark):
     assert got.pop(None) == 1 and got == want and kept.columns == docs.columns
 
 
+def test_accept_with_very_many_pools_judges_each_row_by_its_own_text(spark, monkeypatch):
+    rows = rules_table(spark) + brute.messy()
+    junk = prose(3, 9, "marks")
+    docs = brute.table(spark, [*rows, (1, junk, "en", "a"), (2, junk, "en", "a")])
+    want = Counter(map(repr, quality_rules.accept(docs).collect()))
+    monkeypatch.setattr(quality_rules, "MAX_BROADCAST_GROUPS", 0)
+    got = quality_rules.accept(docs)
+    assert Counter(map(repr, got.collect())) == want and got.columns == docs.columns
+    assert {1, 2} <= {x.doc_id for x in got.collect()} and not [x for x in got.collect() if x.text == junk]
+
+
 def test_quality_rules_small_and_empty(spark):
     few = quality_rules.judge(brute.table(spark, brute.messy(n=10))).collect()
     assert all(r.keep and r.distance is None for r in few) and few
@@ -112,6 +123,75 @@ def test_personal_data_is_found_and_clean_text_left_alone(spark):
     assert red[1] == "write to [EMAIL] or call [PHONE] today" and red[3] == rows[2][1] and red[4] is None and red[None] == "[EMAIL]"
 
 
+def whole_text_decoding(field, text):
+    """Viterbi over all tokens of one text in plain Python, tokens that can only be O among them."""
+    raw, offsets = A.as_bytes(pa.array([text]))
+    tokens = pii.Tokens(raw, offsets)
+    n, k = len(tokens.start), len(pii.LABELS)
+    live = tokens.live.tolist()
+    weights = dict(zip(field.known.tolist(), field.weights, strict=True))
+    emit = {}
+    for row, features in zip(np.flatnonzero(tokens.live), tokens.features(np.flatnonzero(tokens.live)).tolist(), strict=True):
+        emit[row] = sum((weights[f] for f in features if f in weights), np.zeros(k))
+    starts, best, back = pii._starts(), [], []
+    for t in range(n):
+        e = emit[t] if live[t] else np.where(np.arange(k) == 0, 0.0, -np.inf)
+        if t == 0:
+            best.append((starts if live[t] else 0) + e)
+            back.append(None)
+            continue
+        # From a token that is O for sure, a chain begins anew; into one, any chain may end.
+        step = field.transitions if live[t] and live[t - 1] else np.tile(starts, (k, 1)) if live[t] else np.zeros((k, k))
+        score = best[-1][:, None] + step
+        back.append(score.argmax(0))
+        best.append(score.max(0) + e)
+    labels = []
+    if n:
+        y = int(best[-1].argmax())
+        for t in range(n - 1, -1, -1):
+            labels.append(y)
+            y = int(back[t][y]) if t else y
+    labels.reverse()
+    out, t = [], 0
+    whole = raw.tobytes()
+    while t < n:
+        if labels[t] % 2 == 1:
+            end = t
+            while end + 1 < n and labels[end + 1] == labels[t] + 1:
+                end += 1
+            a, b = (len(whole[:x].decode()) for x in (tokens.start[t], tokens.end[end]))
+            out.append((a, b - a, pii.KINDS[(labels[t] - 1) // 2]))
+            t = end
+        t += 1
+    return out
+
+
+def test_personal_data_query_equals_decoding_whole_texts(spark):
+    r = random.Random(21)
+    held = [t for t, _ in pii.labelled_table(120, seed=5)]
+    rows = [x for x in brute.messy(n=12) if x[0] not in (103, 104)]
+    rows += [(600 + k, r.choice(("", "ü ")) + " ".join(r.sample(held, r.randint(1, 4))) + brute.words_text(r, 20), "en", "a") for k in range(60)]
+    got = Counter(map(tuple, pii.spans(brute.table(spark, rows)).collect()))
+    field = pii.train()
+    want = Counter((i, *x) for i, t, *_ in rows if i is not None and t for x in whole_text_decoding(field, t))
+    assert got == want and len(want) > 60
+
+
+def test_field_trained_on_a_given_table(spark):
+    """A caller's labels, in characters: ticket numbers as SECRET."""
+    r = random.Random(2)
+    number = lambda: f"T{r.randint(100, 999)}-{r.randint(1000, 9999)}"
+    rows = []
+    for k in range(200):
+        a, n = brute.words_text(r, r.randint(1, 6)) + " ü ", number()
+        rows.append((a + n + " " + brute.words_text(r, 4) + f" {r.randint(10, 9999)}", [(len(a), len(n), "SECRET")]) if k % 3 else (brute.words_text(r, 5) + f" {r.randint(10, 9999)}", None))
+    table = spark.createDataFrame([*rows, (None, None)], "text string, spans array<struct<start:int,length:int,kind:string>>")
+    assert len(pii.labelled_rows(table)) == 200 and 40 < len(pii.labelled_rows(table, 100)) < 160
+    field = pii.train(pii.labelled_rows(table), epochs=40)
+    got = pii.spans(brute.table(spark, [(1, "see T123-4567 of 1984", "en", "a")]), field).collect()
+    assert [(x.start, x.length, x.kind) for x in got] == [(4, 9, "SECRET")]
+
+
 def test_personal_data_edges(spark):
     assert pii.spans(brute.table(spark, [])).count() == 0 and pii.redact(brute.table(spark, [])).count() == 0
     pii.spans(brute.table(spark, brute.messy())).collect()
@@ -261,6 +341,36 @@ def test_tables_equal_the_convolution():
     assert np.allclose(net.log_probabilities(x), want, atol=1e-4)
 
 
+def test_languages_query_equals_brute_force(spark):
+    """identify() against plain loops over windows, filters and places."""
+    net = language_id.Network(["a", "b", "c"], seed=5)
+    rows = [x for x in brute.messy(n=8) if x[0] not in (103, 104)] + [(700 + k, speech("de", k, 40), "abc"[k % 3], "x") for k in range(12)]
+
+    def window(x):
+        h = []
+        for filters, bias in zip(net.filters, net.bias, strict=True):
+            places = [sum(filters[j][x[at + j]] for j in range(len(filters))) for at in range(len(x) - len(filters) + 1)]
+            h += np.maximum(np.max(places, axis=0) + bias, 0).tolist()
+        z = np.array(h) @ net.dense + net.shift
+        return z - math.log(sum(math.exp(v - z.max()) for v in z)) - z.max()
+
+    want = []
+    for i, t, declared, _ in rows:
+        if i is None:
+            continue
+        low = A.fold(np.frombuffer((t or "").encode(), np.uint8))
+        data = [max(32, int(v)) for v in low]
+        parts = [data[a : a + language_id.WINDOW] for a in range(0, len(data), language_id.WINDOW)]
+        total = sum((len(p) * window(p + [32] * (language_id.WINDOW - len(p))) for p in parts), np.zeros(3))
+        p = math.exp(total.max() / len(data)) if data else None
+        lang = net.languages[int(total.argmax())] if data else None
+        want.append((i, lang, p and round(p, 4), len(parts), declared, lang is None or declared is None or lang == declared or p < language_id.CONFIDENT))
+    got = [(x.doc_id, x.lang, x.probability and round(x.probability, 4), x.n_windows, x.declared, x.keep) for x in language_id.identify(brute.table(spark, rows), net).collect()]
+    assert Counter(got) == Counter(want)
+    kept = Counter(x.doc_id for x in language_id.accept(brute.table(spark, rows), net).collect() if x.doc_id is not None)
+    assert kept == Counter(x[0] for x in want if x[-1])
+
+
 def test_windows_cover_every_byte():
     texts = ["", "a" * 127, "b" * 128, "c" * 129, "d" * 1000]
     x, text, length = language_id.windows(*A.as_bytes(pa.array(texts)))
