@@ -285,16 +285,18 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, epo
     new[1:] = (np.diff(rows) != 1) | (np.diff(tokens.text[rows]) != 0)
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(rows)))
+    # Chains by length, the longest first: those that have a step t are the first active[t].
+    longest = np.argsort(-size, kind="stable")
+    first, size = first[longest], size[longest]
     steps = int(size.max())
-    at = first[:, None] + np.minimum(np.arange(steps)[None], size[:, None] - 1)
-    there = np.arange(steps)[None] < size[:, None]
+    active = [int((size > t).sum()) for t in range(steps)]
     n, k = len(first), len(LABELS)
     one = np.zeros((len(rows), k))
     one[np.arange(len(rows)), gold] = 1
     pairs = np.zeros((k, k))
     for t in range(1, steps):
-        ok = there[:, t]
-        np.add.at(pairs, (gold[at[ok, t - 1]], gold[at[ok, t]]), 1)
+        at = first[: active[t]] + t
+        np.add.at(pairs, (gold[at - 1], gold[at]), 1)
     hard = _allowed()
     free = hard == 0
     lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
@@ -305,24 +307,24 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, epo
     begin = np.flatnonzero(np.concatenate(([True], feature[1:] != feature[:-1])))
     moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(tr), np.zeros_like(tr)]]
     for epoch in range(1, epochs + 1):
-        e = w[index].sum(axis=1)[at]
+        e = w[index].sum(axis=1)
         full = tr + hard
-        alpha = np.zeros((n, steps, k))
-        alpha[:, 0] = e[:, 0] + _starts()
+        alpha = np.zeros((len(rows), k))  # by token
+        alpha[first] = e[first] + _starts()
         for t in range(1, steps):
-            go = lse(alpha[:, t - 1][:, :, None] + full[None], 1) + e[:, t]
-            alpha[:, t] = np.where(there[:, t, None], go, alpha[:, t - 1])
-        z = lse(alpha[:, -1], 1)
-        beta = np.zeros((n, steps, k))
-        expect = np.zeros((k, k))
+            at = first[: active[t]] + t
+            alpha[at] = lse(alpha[at - 1][:, :, None] + full[None], 1) + e[at]
+        whole = lse(alpha[first + size - 1], 1)
+        beta, expect = np.zeros((len(rows), k)), np.zeros((k, k))
         for t in range(steps - 2, -1, -1):
-            inner = full[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
-            beta[:, t] = np.where(there[:, t + 1, None], lse(inner, 2), 0)
-            p = np.exp(alpha[:, t][:, :, None] + inner - z[:, None, None])
-            expect += p[there[:, t + 1]].sum(axis=0)
-        marginal = np.exp(alpha + beta - z[:, None, None])
-        flat = np.zeros((len(rows), k))
-        flat[at[there]] = marginal[there]
+            at = first[: active[t + 1]] + t
+            inner = full[None] + (e[at + 1] + beta[at + 1])[:, None, :]
+            beta[at] = lse(inner, 2)
+            expect += np.exp(alpha[at][:, :, None] + inner - whole[: active[t + 1], None, None]).sum(axis=0)
+        z = np.zeros(len(rows))
+        for t in range(steps):
+            z[first[: active[t]] + t] = whole[: active[t]]
+        flat = np.exp(alpha + beta - z[:, None])
         grad = np.zeros_like(w)
         diff = (one - flat) / n
         grad[feature[begin]] = np.add.reduceat(diff[row], begin, axis=0)
