@@ -77,9 +77,9 @@ def ranked(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source")
     return local.join(counts.select("source", "part", (before - F.col("first")).alias("shift")), ["source", "part"]).select("doc_id", "source", (F.col("at") + F.col("shift")).alias("rank"))
 
 
-def default_weights(counts: Mapping[str, int]) -> dict[str, float]:
-    """Square roots of the sources' document counts: large sources lead, small ones are not drowned."""
-    return {s: n**0.5 for s, n in counts.items()}
+def default_weights(counts: Mapping[str, int]) -> dict[str, int]:
+    """Square roots of the sources' document counts, in units of 1/1024: large sources lead, small ones are not drowned."""
+    return {s: int(1024 * n**0.5) for s, n in counts.items()}
 
 
 def _plan(docs: DataFrame, weights: Mapping[str, float] | None, id_col: str, source_col: str, blocks: int) -> tuple[DataFrame, DataFrame]:
@@ -150,3 +150,23 @@ def reorder(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col:
     inner = [f"c{k}" for k in range(len(names))]  # no name can clash with slot
     out = placed(docs.toDF(*inner), weights, inner[names.index(id_col)], inner[names.index(source_col)], blocks)
     return out.orderBy("slot", inner[names.index(source_col)], inner[names.index(id_col)]).select(*inner).toDF(*names)
+
+
+def oracle(table: str = "documents", blocks: int = BLOCKS) -> str:
+    """DuckDB SQL for mix() with default weights: a recursion over the slots."""
+    return f"""
+WITH RECURSIVE c AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM {table} GROUP BY 1),
+z AS (SELECT greatest(1, (sum(n) + {blocks} - 1) // {blocks})::BIGINT AS size FROM c),
+k AS (SELECT list(source ORDER BY source) AS names, list(floor(1024 * sqrt(n))::BIGINT ORDER BY source) AS p, list(((n + size - 1) // size)::BIGINT ORDER BY source) AS b FROM c, z),
+r AS (
+  SELECT 0::BIGINT AS t, 0::BIGINT AS start, [0::BIGINT for x in b] AS begun, [0::BIGINT for x in b] AS done, 0::BIGINT AS pick, 0::BIGINT AS release, 0::BIGINT AS deadline FROM k
+  UNION ALL
+  SELECT t + 1, CASE WHEN done[pick] + 1 = b[pick] THEN t + 1 ELSE start END, CASE WHEN done[pick] + 1 = b[pick] THEN new ELSE begun END, new, pick,
+    start + (done[pick] - begun[pick]) * whole // p[pick], start + ((done[pick] - begun[pick] + 1) * whole + p[pick] - 1) // p[pick]
+  FROM (SELECT *, [done[i] + (i = pick)::BIGINT for i in range(1, len(p) + 1)] AS new FROM (
+    SELECT *, list_min([((done[i] - begun[i] + 1) * whole + p[i] - 1) // p[i] * 65536 + i for i in range(1, len(p) + 1) if done[i] < b[i] and (done[i] - begun[i]) * whole // p[i] <= t - start]) % 65536 AS pick
+    FROM (SELECT r.* EXCLUDE (pick, release, deadline), p, b, list_sum([p[i] for i in range(1, len(p) + 1) if done[i] < b[i]])::BIGINT AS whole FROM r, k) WHERE list_sum(done) < list_sum(b)))),
+s AS (SELECT names[pick] AS source, done[pick] - 1 AS block, release, deadline, t - 1 AS slot FROM r, k WHERE t > 0),
+d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id NULLS FIRST) - 1 AS rank, size FROM {table}, z)
+SELECT doc_id, source, block::BIGINT AS block, release::BIGINT AS release, deadline::BIGINT AS deadline, slot::BIGINT AS slot, (rank % size)::INTEGER AS position FROM d JOIN s USING (source) WHERE s.block = d.rank // d.size
+"""

@@ -28,8 +28,11 @@ each document's sum. Small models have one shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,12 +216,13 @@ class Shard:
         return np.bincount(t.place, out, len(t.size))
 
 
-def shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list[Shard]:
-    """The model as a list of shards of at most about shard_rows rows (a single (language, byte) apart)."""
+def shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> Iterator[Shard]:
+    """The model as shards, of which the driver holds one at a time, of at most about shard_rows rows (a single (language, byte) apart)."""
     model = A.session_checkpoint(model.withColumn("gram_tail", F.expr(_TAIL_OF_GRAM)).withColumn("ctx_tail", F.expr(_TAIL_OF_CONTEXT)))
     size = model.groupBy("lang", "gram_tail").count().collect()  # 257 rows a language
     if sum(r["count"] for r in size) <= shard_rows:
-        return [Shard(model.select("lang", "g", "p", "back").toArrow(), None)]
+        yield Shard(model.select("lang", "g", "p", "back").toArrow(), None)
+        return
     out, group, total = [], [], 0
     for r in sorted((r for r in size if r["gram_tail"] >= 0), key=lambda r: (r["lang"], r["gram_tail"])):
         if group and total + r["count"] > shard_rows:
@@ -227,7 +231,7 @@ def shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list[Shard]:
         group.append((r["lang"], r["gram_tail"]))
         total += r["count"]
     out.append(group)
-    result, begun = [], set()
+    begun = set()
     known = {lang: np.zeros(256, bool) for lang, _ in sum(out, [])}
     for lang, tail in sum(out, []):
         known[lang][tail] = True
@@ -242,8 +246,7 @@ def shards(model: DataFrame, shard_rows: int = SHARD_ROWS) -> list[Shard]:
         begun |= set(langs)
         for lang, tail in group:
             tails[lang][tail] = True
-        result.append(Shard(rows, tails))
-    return result
+        yield Shard(rows, tails)
 
 
 def _excess(ratio: np.ndarray) -> np.ndarray:
@@ -251,14 +254,13 @@ def _excess(ratio: np.ndarray) -> np.ndarray:
     return np.clip(ratio - EXCESS, 0, MOST_EXCESS)
 
 
-def scores(texts: DataFrame, parts: list[Shard]) -> DataFrame:
+def scores(texts: DataFrame, parts: list[tuple[set[str], Broadcast]]) -> DataFrame:
     """(doc_id, lang, row, n_bytes, loglik, excess) of each row of texts(doc_id, text, lang, row); loglik is null without a model of the language, excess without both.
 
     A token's ratio needs the places of all shards, so with several each gives
     its part of every token's ratio, and the sums are cut off afterwards.
     """
-    context = texts.sparkSession.sparkContext
-    names = set().union(*(s.langs for s in parts))
+    names = set().union(*(n for n, _ in parts))
     both = {x for x in names if x + _TOXIC in names}
     single = len(parts) == 1
 
@@ -289,7 +291,7 @@ def scores(texts: DataFrame, parts: list[Shard]) -> DataFrame:
         return run
 
     schema = f"doc_id bigint, lang string, row string, n_bytes bigint, loglik double, excess {'double' if single else 'array<float>'}"
-    frames = [texts.select("doc_id", "text", "lang", "row").mapInArrow(scorer(context.broadcast(s)), schema) for s in parts]
+    frames = [texts.select("doc_id", "text", "lang", "row").mapInArrow(scorer(held), schema) for _, held in parts]
     if single:
         return frames[0]
     every = frames[0]
@@ -319,7 +321,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         named = F.broadcast(named)
     texts = A.ids_and_texts(docs, id_col, text_col, lang_col, "lang").fillna("", ["lang"])
     model = F.when(F.col("trusted"), F.col("lang")).otherwise(F.concat("lang", F.lit(_TOXIC)))
-    parts = shards(estimate(counts(texts.join(named, "doc_id").select("doc_id", "text", model.alias("lang")))), shard_rows)
+    context = docs.sparkSession.sparkContext
+    parts = [(set(s.langs), context.broadcast(s)) for s in shards(estimate(counts(texts.join(named, "doc_id").select("doc_id", "text", model.alias("lang")))), shard_rows)]
     row = F.lit(None).cast("string") if len(parts) == 1 else F.sha2(F.coalesce("text", F.lit("")), 256)
     x = A.session_checkpoint(scores(texts.withColumn("row", row), parts).select("doc_id", "lang", "n_bytes", "loglik", "excess"))
     marked = x.join(named, "doc_id", "left")
