@@ -94,6 +94,14 @@ class Compiler:
         if node.condition is None:
             return joins.left_join(left, right)
         left = self._with_outer(left, node.condition, right)
+        if _contains_exists(node.condition):
+            # Pairs that pass, and the left rows that are in none of them.
+            if any(n in right.vars and v.nullable for n, v in left.vars.items()):
+                raise T.SparqlError("an EXISTS in the filter of an OPTIONAL needs shared variables that are bound")
+            pairs = self._filtered(joins.join(left, right), node.condition)
+            met = pairs.df.select(*(pairs.col(n).alias("m@" + column_name(n)) for n in left.vars))
+            same = [left.col(n).eqNullSafe(F.col(f"`m@{column_name(n)}`")) for n in left.vars]
+            return joins.union(pairs, Rel(left.df.join(met, same or F.lit(True), "left_anti"), dict(left.vars)))
         return joins.left_join(left, right, lambda both: self._condition(node.condition, both))
 
     def _condition(self, condition: object, both: dict[str, tuple[Column, str]]) -> Column:
@@ -108,8 +116,10 @@ class Compiler:
     # ---- filters
 
     def _filter(self, node: L.Filter) -> Rel:
-        child = self.compile(node.child)
-        for condition in _conjuncts(node.condition):
+        return self._filtered(self.compile(node.child), node.condition)
+
+    def _filtered(self, child: Rel, filters: object) -> Rel:
+        for condition in _conjuncts(filters):
             child = self._with_outer(child, condition)
             if isinstance(condition, L.Call) and condition.name == "!" and isinstance(condition.args[0], L.Exists):
                 condition = L.Exists(condition.args[0].pattern, not condition.args[0].negated)
@@ -264,6 +274,10 @@ def _pair(x: tuple[Column, V]) -> tuple[Column, str]:
     return x[0], x[1].kind
 
 
+def _contains_exists(e: object) -> bool:
+    return isinstance(e, L.Exists) or isinstance(e, L.Call) and any(map(_contains_exists, e.args))
+
+
 def _conjuncts(e: object) -> list[object]:
     if isinstance(e, L.Call) and e.name == "&&":
         return _conjuncts(e.args[0]) + _conjuncts(e.args[1])

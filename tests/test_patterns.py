@@ -143,6 +143,8 @@ LOOSE = "wd:Q1, wdt:P1, wd:Q11, wds:1; wd:Q2, wdt:P1, wd:Q12, wds:2; wd:Q1, wdt:
         ("SELECT ?x WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } FILTER NOT EXISTS { ?z wdt:P3 ?y ; wdt:P4 ?x } }", [(3,)]),
         ("SELECT ?x ?z WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } OPTIONAL { ?z wdt:P4 ?x OPTIONAL { ?x wdt:P2 ?y } } }", [(1, 9), (2, 8), (3, None)]),
         ("SELECT ?x ?e WHERE { ?x wdt:P1 ?a OPTIONAL { ?x wdt:P2 ?y } BIND(EXISTS { ?z wdt:P3 ?y ; wdt:P4 ?x } AS ?e) }", [(1, True), (2, True), (3, False)]),
+        ("SELECT ?x ?b WHERE { ?x wdt:P1 ?a OPTIONAL { ?z wdt:P4 ?x . ?z wdt:P3 ?b FILTER EXISTS { ?x wdt:P2 ?b } } }", [(1, 21), (2, None), (3, None)]),
+        ("SELECT ?x ?z WHERE { ?x wdt:P1 ?a OPTIONAL { ?z wdt:P4 ?x FILTER(?a = wd:Q11) FILTER(?z = wd:Q9) } }", [(1, 9), (2, None), (3, None)]),
         # A filter on the outer row inside an expression, an OPTIONAL and a UNION.
         ("SELECT ?x ?e WHERE { ?x wdt:P1 ?a BIND(IF(EXISTS { ?z wdt:P4 ?x FILTER(?a = wd:Q11) }, 1, 0) AS ?e) }", [(1, 1), (2, 0), (3, 0)]),
         ("SELECT ?x WHERE { ?x wdt:P1 ?a FILTER(EXISTS { ?z wdt:P4 ?x FILTER(?a = wd:Q12) } || ?x = wd:Q3) }", [(2,), (3,)]),
