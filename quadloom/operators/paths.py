@@ -22,7 +22,7 @@ from . import joins
 S, O = ".s", ".o"
 
 
-def _swap(rel: Rel) -> Rel:
+def swap(rel: Rel) -> Rel:
     return rel.select({S: (rel.col(O), rel.vars[O]), O: (rel.col(S), rel.vars[S])})
 
 
@@ -54,11 +54,15 @@ def _grow(edges: DataFrame, start: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def closure(source, path: L.Repeat, start: T.Const | None = None, end: T.Const | None = None) -> Rel:
-    """path* and path+, from a constant start or to a constant end if one is given."""
+def closure(source, path: L.Repeat, start: T.Const | None = None, end: T.Const | None = None, seeds: Rel | None = None) -> Rel:
+    """path* and path+, from a constant start or to a constant end if one is given, or from the values .s of seeds."""
     if start is None and end is not None:
-        return _swap(closure(source, L.Repeat(L.Inverse(path.path), path.low, path.many), end, None))
+        return swap(closure(source, L.Repeat(L.Inverse(path.path), path.low, path.many), end, None))
     rel = _same_kinds(evaluate(source, path.path))
+    if seeds is not None:
+        if seeds.vars[S].kind != rel.vars[S].kind:
+            seeds, rel = seeds.with_kind(S, "term"), rel.with_kind(S, "term").with_kind(O, "term")
+        begin = seeds.df.select(seeds.col(S).alias("s")).where("s is not null").distinct()
     kind = rel.vars[S].kind
     spark = rel.df.sparkSession
     edges = cut_lineage(_pairs(rel).distinct())
@@ -69,6 +73,9 @@ def closure(source, path: L.Repeat, start: T.Const | None = None, end: T.Const |
             edges, one = edges.limit(0), edges.limit(0)
         else:
             one = edges.where(F.col("s") == value)
+    if seeds is not None:
+        begin = cut_lineage(begin)
+        one = edges.join(begin, "s", "left_semi")
     found = _grow(edges, one)
     if path.low == 0:
         if start is not None:
@@ -78,6 +85,8 @@ def closure(source, path: L.Repeat, start: T.Const | None = None, end: T.Const |
                 found = spark.createDataFrame([], f"s {spark_type(kind)}, o {spark_type(kind)}")
             value = T.to_term(T.literal(start), start.kind) if kind == "term" else T.literal(start)
             zero = spark.range(1).select(value.alias("s"), value.alias("o"))
+        elif seeds is not None:
+            zero = begin.select("s", F.col("s").alias("o"))
         else:
             nodes = source.nodes()
             if nodes.vars[S].kind != kind:
@@ -93,7 +102,7 @@ def evaluate(source, path: object, start: T.Const | None = None, end: T.Const |
     if isinstance(path, L.Link):
         return source.edges(path.iri)
     if isinstance(path, L.Inverse):
-        return _swap(evaluate(source, path.path, end, start))
+        return swap(evaluate(source, path.path, end, start))
     if isinstance(path, L.Seq):
         a, b = evaluate(source, path.left, start), evaluate(source, path.right, None, end)
         m = ".via"
@@ -107,7 +116,7 @@ def evaluate(source, path: object, start: T.Const | None = None, end: T.Const |
         if path.forward or not path.backward:
             parts.append(source.edges_except(path.forward))
         if path.backward:
-            parts.append(_swap(source.edges_except(path.backward)))
+            parts.append(swap(source.edges_except(path.backward)))
         return parts[0] if len(parts) == 1 else joins.union(*parts)
     if isinstance(path, L.Repeat):
         if path.many:

@@ -56,21 +56,35 @@ class Compiler:
         """Stars first, then joins: most constants first, always next to what is bound, cross joins last."""
         parts = self.source.stars([t for t in node.triples if isinstance(t.p, (L.Var, L.Link))])
         rels = [(p.constants, p.rel()) for p in parts]
+        free = []
         for t in node.triples:
             if not isinstance(t.p, (L.Var, L.Link)):
-                rels.append((isinstance(t.s, T.Const) + isinstance(t.o, T.Const), self._path(t)))
-        if not rels:
-            return unit(self.spark)
+                constants = isinstance(t.s, T.Const) + isinstance(t.o, T.Const)
+                if isinstance(t.p, L.Repeat) and t.p.many and not constants:
+                    free.append(t)
+                else:
+                    rels.append((constants, self._path(t)))
         rels.sort(key=lambda x: -x[0])
-        out = rels.pop(0)[1]
+        out = rels.pop(0)[1] if rels else None
         while rels:
             k = next((k for k, (_, r) in enumerate(rels) if set(r.vars) & set(out.vars)), 0)
             out = joins.join(out, rels.pop(k)[1])
-        return out
-
-    def _path(self, t: L.Triple) -> Rel:
+        while free:
+            # Closures with free ends come last and only start from what is bound by then.
+            k = next((k for k, t in enumerate(free) if out is not None and {t.s.name, t.o.name} & set(out.vars)), 0)
+            rel = self._path(free.pop(k), out)
+            out = rel if out is None else joins.join(out, rel)
+        return out if out is not None else unit(self.spark)
+
+    def _path(self, t: L.Triple, bound: Rel | None = None) -> Rel:
         start, end = (x if isinstance(x, T.Const) else None for x in (t.s, t.o))
-        pairs = paths.evaluate(self.source, t.p, start, end)
+        seed = lambda x: bound.select({paths.S: (bound.col(x.name), bound.vars[x.name])}) if bound and isinstance(x, L.Var) and x.name in bound.vars else None
+        if bound and (first := seed(t.s)):
+            pairs = paths.closure(self.source, t.p, seeds=first)
+        elif bound and (last := seed(t.o)):
+            pairs = paths.swap(paths.closure(self.source, L.Repeat(L.Inverse(t.p.path), t.p.low, t.p.many), seeds=last))
+        else:
+            pairs = paths.evaluate(self.source, t.p, start, end)
         out = {}
         for place, x in ((paths.S, t.s), (paths.O, t.o)):
             col, v = pairs.col(place), pairs.vars[place]

@@ -164,3 +164,21 @@ def test_no_nested_loop_for_unbound_variables(spark):
     for kind in ("MINUS {", "FILTER EXISTS {", "FILTER NOT EXISTS {", "OPTIONAL {"):
         df = Engine(QuadSource(fixture(spark, LOOSE))).sparql(f"SELECT ?x WHERE {{ ?x wdt:P1 ?a OPTIONAL {{ ?x wdt:P2 ?y }} {kind} ?x wdt:P1 ?b OPTIONAL {{ ?x wdt:P2 ?y }} }} }}")
         assert "BroadcastNestedLoopJoin" not in _plan(df) and "CartesianProduct" not in _plan(df)
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("SELECT ?x ?y WHERE { ?x wdt:P9 wd:Q100 . ?x wdt:P1+ ?y }", [(1, 2), (1, 3), (1, 4)]),
+        ("SELECT ?x ?y WHERE { ?x wdt:P1* ?y . ?x wdt:P9 wd:Q100 }", [(1, 1), (1, 2), (1, 3), (1, 4)]),
+        ("SELECT ?x ?y WHERE { ?x wdt:P1+ ?y . ?y wdt:P9 wd:Q101 }", [(1, 4), (2, 4), (3, 4)]),
+        ("SELECT ?x ?y WHERE { ?x wdt:P1* ?y . ?y wdt:P9 wd:Q101 }", [(1, 4), (2, 4), (3, 4), (4, 4)]),
+        ("SELECT ?x ?y ?z WHERE { ?x wdt:P9 wd:Q100 . ?y wdt:P1* ?z . ?x wdt:P1+ ?y . ?z wdt:P9 ?c }", [(1, 2, 4), (1, 3, 4), (1, 4, 4)]),
+        ("SELECT (COUNT(*) AS ?n) WHERE { ?x wdt:P1+ ?y }", [(6 + 1,)]),
+    ],
+)
+def test_closures_start_from_what_is_bound(spark, query, want):
+    quads = "wd:Q1, wdt:P1, wd:Q2, wds:1; wd:Q2, wdt:P1, wd:Q3, wds:2; wd:Q3, wdt:P1, wd:Q4, wds:3; wd:Q7, wdt:P1, wd:Q8, wds:4; wd:Q1, wdt:P9, wd:Q100, wds:5; wd:Q4, wdt:P9, wd:Q101, wds:6"
+    df = Engine(QuadSource(fixture(spark, quads))).sparql(query)
+    number = lambda v: int(v.rsplit("Q", 1)[1]) if isinstance(v, str) else v
+    assert sorted(tuple(map(number, r)) for r in df.collect()) == want
