@@ -28,7 +28,6 @@ MIN_WORDS = 5
 
 _Q = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _LINES = "h1 bigint, h2 bigint, doc_id bigint, text_key int, line_no int, n_words int, keys array<bigint>"
-_FIRSTS = _LINES + ", first_doc_id bigint, first_text_key int, first_line_no int"
 _VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, text_key int, line_no int"
 _NEAR = "doc_id bigint, text_key int, line_no int, best_doc_id bigint, best_text_key int, best_line_no int"
 
@@ -113,29 +112,6 @@ def _line_rows(min_words: int):
     return run
 
 
-def _first_rows(batches):
-    """From rows sorted by (h1, h2, doc_id, text_key, line_no): each place with the first of its equal lines."""
-    last: tuple[int, ...] | None = None
-    before: tuple | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        h1, h2, *place = (b.column(k).to_numpy() for k in range(5))
-        new = np.ones(b.num_rows, bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        again = np.zeros(b.num_rows, bool)  # the same place twice: a repeated row
-        again[1:] = ~new[1:] & np.logical_and.reduce([x[1:] == x[:-1] for x in place])
-        again[0] = before == (h1[0], h2[0], *(x[0] for x in place))
-        before = (h1[-1], h2[-1], *(x[-1] for x in place))
-        start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), 0))
-        first = [x[start] for x in place]
-        if last and last[:2] == (h1[0], h2[0]):
-            for x, v in zip(first, last[2:], strict=True):
-                x[start == 0] = v
-        last = (h1[-1], h2[-1], *(x[-1] for x in first))
-        yield pa.record_batch([*b.columns, *map(pa.array, first)], names=[*b.schema.names, "first_doc_id", "first_text_key", "first_line_no"]).filter(pa.array(~again))
-
-
 def _variant_rows(batches):
     """From (doc_id, text, text_key, line numbers): the variants of those lines; place -1 is the line itself."""
     for batch in batches:
@@ -230,20 +206,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """
     texts = A.ids_and_texts(docs, id_col, text_col).withColumn("text_key", text_key(F.col("text")))
     place = ["doc_id", "text_key", "line_no"]
-    lines = texts.mapInArrow(_line_rows(min_words), _LINES).repartition("h1").sortWithinPartitions("h1", "h2", *place).mapInArrow(_first_rows, _FIRSTS)
-    first = F.struct(*(F.col(f"first_{c}").alias(c) for c in place))
-    firsts = lines.where((F.struct(*place) == first) & (F.col("n_words") >= min_words))
+    lines = texts.mapInArrow(_line_rows(min_words), _LINES)
+    here = F.struct(*place)
+    # Equal lines are combined on the map side first, so that a line that is a third of all is no task's burden.
+    every = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
+    firsts = every.where(F.col("n_words") >= min_words)
     keys = firsts.select(F.explode("keys").alias("key"), "h1")
     able = keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_able_rows, "h1 bigint").distinct()
-    able = firsts.join(able, "h1", "left_semi").select(*place, "h1", "h2")
+    able = firsts.join(able, "h1", "left_semi").select("first.*", "h1", "h2")
     places = able.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
     variants = texts.join(places, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "lines").mapInArrow(_variant_rows, _VARIANTS)
     near = variants.repartition("v1").sortWithinPartitions("v1", "v2", "place", *place).mapInArrow(_near_rows, _NEAR)
     near = near.groupBy(*place).agg(F.min(F.struct(*(F.col(f"best_{c}").alias(c) for c in place))).alias("best"))
     named = near.join(able, place).select("h1", "h2", "best")
-    out = lines.drop("keys", "n_words").join(named, ["h1", "h2"], "left")
-    out = out.withColumn("first", F.least("best", first)).withColumn("edits", F.when(F.col("first") < first, 1).otherwise(0))
-    return out.where(F.col("first") < F.struct(*place)).select(*place, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "edits")
+    # Of all lines only those meet again that occur twice or have a near copy; the skew join splits frequent ones.
+    known = every.select("h1", "h2", "first", "last").join(named, ["h1", "h2"], "left").where((F.col("first") != F.col("last")) | F.col("best").isNotNull())
+    out = lines.select("h1", "h2", *place).join(known.drop("last").withColumnRenamed("first", "equal"), ["h1", "h2"])
+    out = out.withColumn("first", F.least("best", "equal")).where(F.col("first") < here)
+    edits = F.when(F.col("first") < F.col("equal"), 1).otherwise(0).alias("edits")
+    return out.select(*place, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), edits).distinct()
 
 
 def text_key(text: Column) -> Column:
