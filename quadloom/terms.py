@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,8 +125,13 @@ def parse_literal(text: str, datatype: str | None = None, lang: str | None = Non
         if name in ("dateTime", "date"):
             if not re.match(r"[+-]?\d{4,}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?$", text):
                 raise ValueError(text)
-            return Const("time", re.sub(r"(Z|[+-]\d\d:\d\d)$", "", text.removeprefix("+")) + ("" if "T" in text else "T00:00:00"))
-    except (ValueError, KeyError):
+            at = re.sub(r"(Z|[+-]\d\d:\d\d)$", "", text.removeprefix("+")) + ("" if "T" in text else "T00:00:00")
+            zone = re.search(r"T.*([+-])(\d\d):(\d\d)$", text)
+            if zone and re.match(r"\d{4}-", at):  # times are kept in UTC
+                shift = timedelta(hours=int(zone[2]), minutes=int(zone[3])) * (-1 if zone[1] == "+" else 1)
+                at = (datetime.fromisoformat(at) + shift).isoformat()
+            return Const("time", at)
+    except (ValueError, KeyError, OverflowError):
         return Const("null", None)
     return Const("string", text)
 
