@@ -209,7 +209,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     lines = texts.mapInArrow(_line_rows(min_words), _LINES)
     here = F.struct(*place)
     # Equal lines are combined on the map side first, so that a line that is a third of all is no task's burden.
-    every = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
+    every = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
     firsts = every.where(F.col("n_words") >= min_words)
     keys = firsts.select(F.explode("keys").alias("key"), "h1")
     able = keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_able_rows, "h1 bigint").distinct()
@@ -220,8 +220,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     near = near.groupBy(*place).agg(F.min(F.struct(*(F.col(f"best_{c}").alias(c) for c in place))).alias("best"))
     named = near.join(able, place).select("h1", "h2", "best")
     # Of all lines only those meet again that occur twice or have a near copy; the skew join splits frequent ones.
-    known = every.select("h1", "h2", "first", "last").join(named, ["h1", "h2"], "left").where((F.col("first") != F.col("last")) | F.col("best").isNotNull())
-    out = lines.select("h1", "h2", *place).join(known.drop("last").withColumnRenamed("first", "equal"), ["h1", "h2"])
+    known = every.select("h1", "h2", "first", "n").join(named, ["h1", "h2"], "left").where("n > 1 or best is not null")
+    out = lines.select("h1", "h2", *place).join(known.drop("n").withColumnRenamed("first", "equal"), ["h1", "h2"])
     out = out.withColumn("first", F.least("best", "equal")).where(F.col("first") < here)
     edits = F.when(F.col("first") < F.col("equal"), 1).otherwise(0).alias("edits")
     return out.select(*place, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), edits).distinct()

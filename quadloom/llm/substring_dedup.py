@@ -106,8 +106,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """
     u = units(docs, id_col, text_col, min_words, reach)
     here = F.struct("doc_id", "text_key", "start", "length")
-    firsts = u.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    firsts = firsts.where(F.col("first") != F.col("last")).drop("last")
+    firsts = u.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = F.col("first")
     later = (F.col("doc_id") != first.doc_id) | (F.col("text_key") != first.text_key) | (F.col("start") >= first.start + first.length)
     again = u.join(firsts, ["h1", "h2"]).where(later)
