@@ -124,6 +124,16 @@ _add("hashes", "SELECT ?n ?a ?b ?c WHERE { ?n wdt:P31 wd:Q2 ; rdfs:label ?x BIND
 _add("hashes_long", "SELECT ?r (SHA384(?x) AS ?a) (SHA512(?x) AS ?b) WHERE { ?r wdt:P31 wd:Q1 BIND(\"a region of the world\" AS ?x) }", f"SELECT {R} AS r, '{hashlib.sha384(b'a region of the world').hexdigest()}' AS a, '{hashlib.sha512(b'a region of the world').hexdigest()}' AS b FROM region")
 _add("random_and_now", "SELECT ?r (RAND() < 1 AS ?a) (STRLEN(STRUUID()) AS ?b) (STRLEN(STR(UUID())) AS ?c) (YEAR(NOW()) > 2000 AS ?d) WHERE { ?r wdt:P31 wd:Q1 }", f"SELECT {R} AS r, true AS a, 36::BIGINT AS b, 45::BIGINT AS c, true AS d FROM region")
 
+_add("strdt", 'SELECT ?p ?x ?y WHERE { ?p wdt:P20 ?t BIND(STRDT(STRAFTER(?t, "#"), xsd:integer) + 1 AS ?x) BIND(YEAR(STRDT(CONCAT("19", SUBSTR(STR(?p), STRLEN(STR(?p))), "4-01-02T00:00:00Z"), xsd:dateTime)) AS ?y) }', f"SELECT {P} AS p, split_part(p_brand, '#', 2)::BIGINT + 1 AS x, 1904 + 10 * (({P}) % 10) AS y FROM part")
+_add("bnode", 'SELECT ?r ?n ?same WHERE { ?r wdt:P31 wd:Q1 ; rdfs:label ?x BIND(STRLEN(STR(BNODE())) AS ?n) BIND(BNODE(?x) = BNODE(?x) AS ?same) }', f"SELECT {R} AS r, 38::BIGINT AS n, true AS same FROM region")
+_add("time_with_offset", 'SELECT ?o WHERE { ?o wdt:P34 ?t FILTER(?t < "1993-01-01T02:00:00+02:00"^^xsd:dateTime) }', f"SELECT {O_} AS o FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'")
+_add("from_is_ignored", "SELECT ?r ?name FROM <http://example.org/graph> FROM NAMED <http://example.org/other> WHERE { ?r wdt:P31 wd:Q1 ; rdfs:label ?name }", f"SELECT {R} AS r, r_name AS name FROM region")
+_add("service_silent", "SELECT ?r WHERE { ?r wdt:P31 wd:Q1 SERVICE SILENT <http://example.org/sparql> { ?r wdt:P1 ?x } }", f"SELECT {R} AS r FROM region")
+_add("optional_exists", 'SELECT ?c ?o WHERE { ?c wdt:P13 "BUILDING" OPTIONAL { ?o wdt:P30 ?c ; wdt:P32 "F" FILTER EXISTS { ?o p:P40 [ pq:P47 "R" ] } } }', f"SELECT {C} AS c, {O_} AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+_add("minus_unbound", "SELECT ?d ?q WHERE { ?d wdt:P61 ?s OPTIONAL { ?d wdt:P63 ?q } MINUS { ?e wdt:P64 1 ; wdt:P63 ?q } }", f"SELECT {D} AS d, quality::BIGINT AS q FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality NOT IN (SELECT quality FROM labels WHERE toxic = 1 AND quality IS NOT NULL)")
+_add("exists_unbound", "SELECT ?d WHERE { ?d wdt:P61 ?s OPTIONAL { ?d wdt:P63 ?q } FILTER NOT EXISTS { ?d wdt:P64 1 ; wdt:P63 ?q } }", f"SELECT {D} AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality IS NOT NULL)")
+_add("path_plus_bound", 'SELECT ?c ?y WHERE { ?c wdt:P13 "BUILDING" . ?c (wdt:P10|wdt:P11)+ ?y }', f"SELECT {C} AS c, {_q('c_nationkey', 2)} AS y FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT {C}, {_q('n_regionkey', 1)} FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'")
+
 # ---- solution modifiers and aggregates
 _add("distinct", "SELECT DISTINCT ?seg WHERE { ?c wdt:P13 ?seg }", "SELECT DISTINCT c_mktsegment AS seg FROM customer")
 _add("reduced", "SELECT REDUCED ?r WHERE { ?r wdt:P31 wd:Q1 }", f"SELECT {R} AS r FROM region")
