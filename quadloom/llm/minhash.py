@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from hashlib import blake2b
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +33,8 @@ SHINGLE = 2
 CHUNKS, WIDTH = 10, 6
 SYMBOLS = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
+#: Of rows that share a key, components that are followed one by one, and what is little enough to go on so.
+PIVOTS, SMALL = 16, 256
 
 _FACTORS = (A.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = A.mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64))
@@ -78,15 +82,26 @@ def _distance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (one != many).sum(axis=-1)
 
 
-def components(symbols: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each row the first row of its component under distance <= radius."""
+def components(symbols: np.ndarray, radius: int = RADIUS, pivots: int = PIVOTS) -> np.ndarray:
+    """For each row the first row of its component under distance <= radius.
+
+    The components of the first rows are followed one after the other, which takes a pass over
+    the rows for each. What is left after that many, rows that are near to few others,
+    is divided by the keys of further chunks.
+    """
     n = len(symbols)
     label = np.full(n, -1)
+    done = 0
     for pivot in range(n):
         if label[pivot] >= 0:
             continue
-        label[pivot] = pivot
         rest = np.flatnonzero(label < 0)
+        if done == pivots and len(rest) > SMALL:
+            label[rest] = rest[_by_further_chunks(symbols[rest], radius)]
+            break
+        done += 1
+        label[pivot] = pivot
+        rest = rest[1:]
         if not len(rest):
             break
         far = _distance(symbols[pivot], symbols[rest])
@@ -106,6 +121,57 @@ def components(symbols: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return label
 
 
+def _by_further_chunks(symbols: np.ndarray, radius: int) -> np.ndarray:
+    """components() for rows of which most are near to few others.
+
+    Chunks on which all rows agree but for one symbol tell nothing apart. Of the others, with at most
+    radius errors in all, one has at most m, where m is the smallest number with (m + 1) chunks > radius: rows
+    in the radius share a key of that chunk without m of its symbols.
+    """
+    n = len(symbols)
+    whole = np.arange(n)
+    chunks = symbols.reshape(n, CHUNKS, WIDTH)
+    left = np.flatnonzero((chunks == chunks[0]).all(axis=0).sum(axis=1) < WIDTH - 1)
+    masked = next((m for m in range(WIDTH - 1) if len(left) * (m + 1) > radius), None)
+    if masked is None:
+        return components(symbols, radius, n)
+    each = A.mix(symbols.astype(np.uint64) + _SALTS[None, :]).reshape(n, CHUNKS, WIDTH)
+    label = whole.copy()
+    for c in left.tolist():
+        total = each[:, c].sum(axis=1, dtype=np.uint64)
+        for out in combinations(range(WIDTH), masked):
+            key = total - each[:, c, list(out)].sum(axis=1, dtype=np.uint64)
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+            end = np.append(start[1:], n)
+            mixed = np.minimum.reduceat(label[order], start) != np.maximum.reduceat(label[order], start)
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := parent.get(x, x)) != x:  # noqa: B023
+                    parent[x] = x = parent.get(y, y)  # noqa: B023
+                return x
+
+            for a, e in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
+                own = np.sort(order[a:e])
+                if e - a == 2:
+                    found = [(own[1], own[0])] if _distance(symbols[own[0]], symbols[own[1]]) <= radius else []
+                else:
+                    # Fewer rows, or all of them once more: then they are followed one after the other.
+                    first = components(symbols[own], radius, PIVOTS if e - a < n else n)
+                    found = [(own[k], own[first[k]]) for k in np.flatnonzero(first != np.arange(e - a)).tolist()]
+                for u, v in found:
+                    u, v = top(int(label[u])), top(int(label[v]))
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+            if parent:
+                tops = np.array([top(x) for x in parent])
+                moved = whole.copy()
+                moved[list(parent)] = tops
+                label = moved[label]
+    return label
+
+
 def _signature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -172,27 +238,40 @@ def _buckets(batches):
 
 
 def _links(batches):
-    """From buckets as lists of (doc_id, sig): (doc_id, first of its component) for verified members."""
-    for batch in batches:
-        column = batch.column(0)
-        flat = column.flatten()
-        ids = flat.field(0).to_numpy()
-        symbols = _symbols(flat.field(1))
-        offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
-        sizes = np.diff(offsets)
+    """From (bucket, doc_id, sig) sorted by bucket and doc_id: (doc_id, first of its component) for verified members."""
+
+    def linked(bucket: np.ndarray, ids: np.ndarray, symbols: np.ndarray):
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        sizes = np.diff(np.append(start, len(bucket)))
         src, dst = [], []
-        two = offsets[:-1][sizes == 2]
+        two = start[sizes == 2]
         near = two[_distance(symbols[two], symbols[two + 1]) <= RADIUS]
         src.append(ids[near + 1])
         dst.append(ids[near])
-        for k in np.flatnonzero(sizes > 2):
-            a, b = offsets[k], offsets[k + 1]
-            label = components(symbols[a:b])
-            moved = np.flatnonzero(label != np.arange(b - a))
+        for a, n in zip(start[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            label = components(symbols[a : a + n])
+            moved = np.flatnonzero(label != np.arange(n))
             src.append(ids[a + moved])
             dst.append(ids[a + label[moved]])
         u, v = np.concatenate(src), np.concatenate(dst)
-        yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+        return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _symbols(batch.column(2)))
+        cut = int(np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))[-1])  # the last bucket may go on
+        if cut == 0 and held and held[-1][0][-1] == columns[0][0]:
+            held.append(columns)
+            continue
+        done = [*held, tuple(c[:cut] for c in columns)]
+        whole = tuple(np.concatenate(c) for c in zip(*done, strict=True))
+        if len(whole[0]):
+            yield linked(*whole)
+        held = [tuple(c[cut:] for c in columns)]
+    if held:
+        yield linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -233,7 +312,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = key_rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_buckets, "members array<bigint>").distinct()
     buckets = A.session_checkpoint(buckets.withColumn("bucket", F.xxhash64("members", F.size("members"))))
     member = buckets.select("bucket", F.explode("members").alias("doc_id"))
-    full = member.join(reps, "doc_id").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "sig"))).alias("m")).select("m")
+    full = member.join(reps, "doc_id").select("bucket", "doc_id", "sig").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
     near = full.mapInArrow(_links, "u bigint, v bigint")
     root = connected(near)
     tops = reps.join(root.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left").select("sig", F.coalesce("root", "doc_id").alias("duplicate_of"))

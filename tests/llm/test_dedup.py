@@ -42,6 +42,43 @@ def test_components_equal_brute_force():
     assert minhash.components(s).tolist() == want
 
 
+def edited(rng, s, low, high):
+    """Copies with that many other symbols."""
+    out = s.copy()
+    for k in range(len(s)):
+        at = rng.choice(minhash.SYMBOLS, rng.integers(low, high + 1), replace=False)
+        out[k, at] = rng.integers(0, 1 << 16, len(at))
+    return out
+
+
+@pytest.mark.parametrize("shared", [0, 1, 5, 7, 9])
+def test_components_by_further_chunks_equal_brute_force(monkeypatch, shared):
+    """Rows that agree on some chunks, as those of one key do; copies of some within and around the radius."""
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    rng = np.random.default_rng(shared)
+    s = rng.integers(0, 1 << 16, (150, minhash.SYMBOLS)).astype(np.uint16)
+    s[:, : shared * minhash.WIDTH] = s[0, : shared * minhash.WIDTH]
+    s = np.concatenate([s, edited(rng, s[:60], 1, 25), edited(rng, s[:30], 15, 19), s[:5]])[rng.permutation(245)]
+    want = brute.groups(len(s), lambda a, b: (s[a] != s[b]).sum() <= minhash.RADIUS)
+    for pivots in (0, 2, 1000):
+        assert minhash.components(s, pivots=pivots).tolist() == want
+
+
+def test_a_key_of_a_hundred_thousand_members():
+    """Half of them near copies of one text, half near to one other or none."""
+    rng = np.random.default_rng(9)
+    s = rng.integers(0, 1 << 16, (50_000, minhash.SYMBOLS)).astype(np.uint16)
+    s[:, : minhash.WIDTH] = s[0, : minhash.WIDTH]
+    s[25_000:] = s[:25_000]
+    s[25_000:, -9:] = rng.integers(0, 1 << 16, (25_000, 9))
+    near = np.repeat(s[:1], 50_000, axis=0)
+    near[np.arange(50_000), rng.integers(0, minhash.SYMBOLS, 50_000)] = 7
+    rows = np.concatenate([near, s[1:25_000], s[25_001:]])
+    batch = pa.record_batch([pa.array(np.full(len(rows), 5)), pa.array(np.arange(len(rows))), pa.array([x.tobytes() for x in rows], pa.binary())], names=["bucket", "doc_id", "sig"])
+    links = [(u, v) for b in minhash._links(batch.slice(k, 10_000) for k in range(0, len(rows), 10_000)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert set(links) == {(k, 0) for k in range(1, 50_000)} | {(50_000 + 24_999 + k, 50_000 + k) for k in range(24_999)}
+
+
 def test_minhash_recall_on_edited_copies(spark):
     r = random.Random(3)
     rows = []
