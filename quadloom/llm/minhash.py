@@ -19,7 +19,6 @@ about n comparisons, not n squared, and no bucket is cut off.
 from __future__ import annotations
 
 from hashlib import blake2b
-
 from itertools import combinations
 
 import numpy as np
@@ -124,17 +123,19 @@ def components(symbols: np.ndarray, radius: int = RADIUS, pivots: int = PIVOTS)
 def _by_further_chunks(symbols: np.ndarray, radius: int) -> np.ndarray:
     """components() for rows of which most are near to few others.
 
-    Chunks on which all rows agree but for one symbol tell nothing apart. Of the others, with at most
+    Chunks on which many rows agree but for one symbol tell little apart. Of the others, with at most
     radius errors in all, one has at most m, where m is the smallest number with (m + 1) chunks > radius: rows
-    in the radius share a key of that chunk without m of its symbols.
+    in the radius share a key of that chunk without m of its symbols. Where too few chunks are left, or where the keys
+    divide so little that they would take more comparisons than all pairs, the rows are followed one after the other.
     """
     n = len(symbols)
     whole = np.arange(n)
-    chunks = symbols.reshape(n, CHUNKS, WIDTH)
-    left = np.flatnonzero((chunks == chunks[0]).all(axis=0).sum(axis=1) < WIDTH - 1)
+    common = np.array([np.bincount(symbols[:, k]).max() for k in range(SYMBOLS)]) * 4 > n
+    left = np.flatnonzero(common.reshape(CHUNKS, WIDTH).sum(axis=1) < WIDTH - 1)
     masked = next((m for m in range(WIDTH - 1) if len(left) * (m + 1) > radius), None)
     if masked is None:
         return components(symbols, radius, n)
+    spent = 0
     each = A.mix(symbols.astype(np.uint64) + _SALTS[None, :]).reshape(n, CHUNKS, WIDTH)
     label = whole.copy()
     for c in left.tolist():
@@ -145,6 +146,9 @@ def _by_further_chunks(symbols: np.ndarray, radius: int) -> np.ndarray:
             start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
             end = np.append(start[1:], n)
             mixed = np.minimum.reduceat(label[order], start) != np.maximum.reduceat(label[order], start)
+            spent += int(((end - start)[mixed].astype(np.int64) ** 2).sum())
+            if spent > n * n:
+                return components(symbols, radius, n)
             parent: dict[int, int] = {}
 
             def top(x: int) -> int:
@@ -157,8 +161,7 @@ def _by_further_chunks(symbols: np.ndarray, radius: int) -> np.ndarray:
                 if e - a == 2:
                     found = [(own[1], own[0])] if _distance(symbols[own[0]], symbols[own[1]]) <= radius else []
                 else:
-                    # Fewer rows, or all of them once more: then they are followed one after the other.
-                    first = components(symbols[own], radius, PIVOTS if e - a < n else n)
+                    first = components(symbols[own], radius, e - a)
                     found = [(own[k], own[first[k]]) for k in np.flatnonzero(first != np.arange(e - a)).tolist()]
                 for u, v in found:
                     u, v = top(int(label[u])), top(int(label[v]))
