@@ -9,10 +9,12 @@ two lines that share a variant are one edit apart if one of them is the variant
 itself or both lost the word at the same place. A line goes if an earlier line,
 by (id, text key, line number), is within the bound.
 
-Two steps keep the join small without losing a pair. Equal lines are collapsed
-first. Then a line only emits variants if it can have a partner: one edit leaves
-the first or the last half of the words as they are, so lines that share neither
-a first nor a last half with another line have no near copy.
+A line only emits variants if it can have a partner: one edit leaves the first or
+the last half of the words as they are, so lines that share neither a first nor a
+last half with another line have no near copy. Equal lines share their halves too,
+so one grouping by halves finds the equal lines, the first of them and the lines
+that may have a near copy. Texts are read three times: for their halves, for the
+variants of the lines that may have a near copy, and for the lines to report.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from . import arrowtext as A
 MIN_WORDS = 5
 
 _Q = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_LINES = "h1 bigint, h2 bigint, doc_id bigint, text_key int, line_no int, n_words int, keys array<bigint>"
+_LINES = "h1 bigint, h2 bigint, doc_id bigint, text_key int, line_no int"
+_KEYS = f"key bigint, {_LINES}"
+_MARKED = f"{_LINES}, able boolean, again boolean"
 _VARIANTS = "v1 bigint, v2 int, place int, doc_id bigint, text_key int, line_no int"
 _NEAR = "doc_id bigint, text_key int, line_no int, best_doc_id bigint, best_text_key int, best_line_no int"
 
@@ -96,18 +100,48 @@ class _Lines:
         return np.concatenate(lines), np.concatenate(keys)
 
 
-def _line_rows(min_words: int):
+def _line_rows(batches):
+    for batch in batches:
+        for part in A.chunks(batch, 1):
+            lines = _Lines(*A.folded(part.column(1)))
+            doc = pa.array(lines.doc)
+            columns = [pa.array(lines.digest(0).view(np.int64)), pa.array(lines.digest(1).view(np.int64)), part.column(0).take(doc), part.column(2).take(doc), pa.array(lines.number.astype(np.int32))]
+            yield pa.record_batch(columns, names=["h1", "h2", "doc_id", "text_key", "line_no"])
+
+
+def _ends(h1: np.ndarray, h2: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of equal lines the first and the last by place, of all others the only one."""
+    order = np.lexsort((h2, h1))
+    same = np.concatenate(([False], (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1]), [False]))
+    several = same[:-1] | same[1:]
+    one, rest = order[~several], order[several]
+    if len(rest):
+        rest = rest[np.lexsort((*(x[rest] for x in place[::-1]), h2[rest], h1[rest]))]
+        new = np.concatenate(([True], (h1[rest][1:] != h1[rest][:-1]) | (h2[rest][1:] != h2[rest][:-1]), [True]))
+        rest = rest[new[:-1] | new[1:]]
+    return np.concatenate([one, rest])
+
+
+def _key_rows(min_words: int):
+    """The lines under each key of theirs. A line of less than min_words words is its own key. Of the equal lines of a chunk
+    only the first and the last go on, so that a line that is a third of all is no task's burden."""
+
     def run(batches):
         for batch in batches:
             for part in A.chunks(batch, 1):
                 lines = _Lines(*A.folded(part.column(1)))
+                if not len(lines.n):
+                    continue
+                h1, h2, number = lines.digest(0), lines.digest(1), lines.number.astype(np.int32)
+                doc, text_key = (part.column(k).take(pa.array(lines.doc)).to_numpy() for k in (0, 2))
+                kept = np.zeros(len(h1), bool)
+                kept[_ends(h1, h2, (doc, text_key, number))] = True
                 line, key = lines.halves(min_words)
-                order = np.argsort(line, kind="stable")
-                offsets = np.searchsorted(line[order], np.arange(len(lines.n) + 1)).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))
-                doc = pa.array(lines.doc)
-                columns = [pa.array(lines.digest(0).view(np.int64)), pa.array(lines.digest(1).view(np.int64)), part.column(0).take(doc), part.column(2).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.n.astype(np.int32)), keys]
-                yield pa.record_batch(columns, names=["h1", "h2", "doc_id", "text_key", "line_no", "n_words", "keys"])
+                line, key = line[kept[line]], key[kept[line]]
+                short = np.flatnonzero(kept & (lines.n < min_words))
+                line, key = np.concatenate([line, short]), np.concatenate([key, A.mix(h1[short] + _Q[0])])
+                columns = [key.view(np.int64), h1[line].view(np.int64), h2[line].view(np.int64), doc[line], text_key[line], number[line]]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "h1", "h2", "doc_id", "text_key", "line_no"])
 
     return run
 
@@ -137,22 +171,48 @@ def _variant_rows(batches):
 
 
 def _able_rows(batches):
-    """From (key, h1) sorted by both: the lines that share a key with another line. Holds one row of a key, however many it has."""
-    held: tuple[int, int] | None = None  # the last row, if it has met no other line of its key
-    last: tuple[int, int] | None = None
+    """From (key, h1, h2, place) sorted by all columns: the first place of each line, whether another line shares the key
+    and whether the line is at a later place too; lines of which neither holds are left out.
+
+    A group may go on in the next batch. Three rows of a key are kept for that, however many it has: the first one,
+    and the first and the last of its last line.
+    """
+    held: list[np.ndarray] | None = None
+
+    def marked(columns: list[np.ndarray], end: int) -> pa.RecordBatch:
+        """Of the first rows up to end, where a line ends."""
+        new_key, new_line = _news(columns, 1), _news(columns, 3)
+        first = np.flatnonzero(new_line[:end])
+        last = np.append(first, end)[1:] - 1
+        key = np.cumsum(new_key)  # counts the rows that are held back, too
+        several = np.bincount(key[np.flatnonzero(new_line)])[key[first]] > 1
+        again = np.zeros(len(first), bool)
+        for c in columns[3:]:
+            again |= c[first] != c[last]
+        out = several | again
+        return pa.record_batch([pa.array(x[out]) for x in (*(c[first] for c in columns[1:]), several, again)], names=[*names[1:], "able", "again"])
+
     for b in batches:
         if not b.num_rows:
             continue
-        key, h1 = (b.column(k).to_numpy() for k in range(2))
-        if last is not None:
-            key, h1 = np.append(last[0], key), np.append(last[1], h1)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])
-        same = np.zeros(len(key) + 1, bool)  # the row before is another line of the same key
-        same[1:-1] = new[1:] & (key[1:] == key[:-1])
-        out = h1[same[:-1] | same[1:]]
-        last = (key[-1], h1[-1])
-        yield pa.record_batch([pa.array(np.unique(out))], names=["h1"])
+        names = b.schema.names
+        columns = [c.to_numpy() for c in b.columns]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        top, line = (int(np.flatnonzero(_news(columns, k))[-1]) for k in (1, 3))
+        yield marked(columns, line)
+        held = [c[np.unique([top, line, len(c) - 1])] for c in columns]
+    if held is not None:
+        yield marked(held, len(held[0]))
+
+
+def _news(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """The rows that differ from the one before in one of the first n columns."""
+    out = np.zeros(len(columns[0]), bool)
+    out[0] = True
+    for c in columns[:n]:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _near_rows(batches):
@@ -203,25 +263,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     is 0 if it is equal and 1 otherwise. Lines count from 0. Lines without a word
     stay; null and empty texts and an empty table have none. Different texts under one
     id are told apart by text_key, 28 bits of the text's digest; equal rows are one document.
+    The first places of the lines that matter are checkpointed when this is called.
     """
     texts = A.ids_and_texts(docs, id_col, text_col).withColumn("text_key", text_key(F.col("text")))
     place = ["doc_id", "text_key", "line_no"]
-    lines = texts.mapInArrow(_line_rows(min_words), _LINES)
     here = F.struct(*place)
-    # Equal lines are combined on the map side first, so that a line that is a third of all is no task's burden.
-    every = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
-    firsts = every.where(F.col("n_words") >= min_words)
-    keys = firsts.select(F.explode("keys").alias("key"), "h1")
-    able = keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_able_rows, "h1 bigint").distinct()
-    able = firsts.join(able, "h1", "left_semi").select("first.*", "h1", "h2")
-    places = able.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
+    keys = texts.mapInArrow(_key_rows(min_words), _KEYS).repartition("key").sortWithinPartitions("key", "h1", "h2", *place)
+    marked = keys.mapInArrow(_able_rows, _MARKED).groupBy("h1", "h2", *place).agg(F.max("able").alias("able"), F.max("again").alias("again"))
+    marked = A.session_checkpoint(marked)  # two parts of the plan go on from here
+    places = marked.where("able").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
     variants = texts.join(places, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "lines").mapInArrow(_variant_rows, _VARIANTS)
     near = variants.repartition("v1").sortWithinPartitions("v1", "v2", "place", *place).mapInArrow(_near_rows, _NEAR)
     near = near.groupBy(*place).agg(F.min(F.struct(*(F.col(f"best_{c}").alias(c) for c in place))).alias("best"))
-    named = near.join(able, place).select("h1", "h2", "best")
     # Of all lines only those meet again that occur twice or have a near copy; the skew join splits frequent ones.
-    known = every.select("h1", "h2", "first", "n").join(named, ["h1", "h2"], "left").where("n > 1 or best is not null")
-    out = lines.select("h1", "h2", *place).join(known.drop("n").withColumnRenamed("first", "equal"), ["h1", "h2"])
+    known = marked.join(near, place, "left").where("again or best is not null").select("h1", "h2", here.alias("equal"), "best")
+    out = texts.mapInArrow(_line_rows, _LINES).join(known, ["h1", "h2"])
     out = out.withColumn("first", F.least("best", "equal")).where(F.col("first") < here)
     edits = F.when(F.col("first") < F.col("equal"), 1).otherwise(0).alias("edits")
     return out.select(*place, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), edits).distinct()

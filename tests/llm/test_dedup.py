@@ -164,6 +164,53 @@ def test_lines_that_share_a_half_go_over_batches():
         assert got == want
 
 
+def test_first_places_of_lines_go_over_batches():
+    """Of lines that share a key or occur again: the first place and which of both holds, wherever the batches are cut."""
+    rng = np.random.default_rng(6)
+    rows = sorted(zip(*(rng.integers(0, n, 400).tolist() for n in (80, 40, 2, 30, 2, 3)), strict=True))
+    types = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+    batch = pa.record_batch([pa.array(np.array(c, t)) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "h1", "h2", "doc_id", "text_key", "line_no"])
+    want = {}
+    for key, *line in {x[:3] for x in rows}:
+        places = [x[3:] for x in rows if list(x[:3]) == [key, *line]]
+        able, again = any(x[0] == key and list(x[1:3]) != line for x in rows), len(set(places)) > 1
+        if able or again:
+            old = want.get((*line, *min(places)), (False, False))
+            want[(*line, *min(places))] = (old[0] or able, old[1] or again)
+    for size in (1, 2, 5, 400):
+        got = {}
+        for b in line_dedup._able_rows([batch.slice(k, size) for k in range(0, len(rows), size)]):
+            for *line, able, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                old = got.get(tuple(line), (False, False))
+                got[tuple(line)] = (old[0] or able, old[1] or again)
+        assert got == want
+
+
+def test_a_frequent_line_sends_two_rows_of_a_chunk():
+    """The first and the last place under each of its keys, though the ids are in no order and one text is null."""
+    texts = ["a line of six words here\nshort\n\nshort" for _ in range(50)] + [None, "a line of five words"]
+    ids = random.Random(7).sample(range(1000), len(texts))
+    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts), pa.array([None if t is None else 3 for t in texts], pa.int32())], names=["doc_id", "text", "text_key"])
+    (rows,) = line_dedup._key_rows(5)([batch])
+    places = sorted(zip(rows["doc_id"].to_pylist(), rows["line_no"].to_pylist(), strict=True))
+    first, last = min(ids[:50]), max(ids[:50])
+    assert places == sorted([(first, 0), (last, 0)] * 4 + [(first, 1), (last, 3)] + [(ids[-1], 0)] * 2)
+
+
+def test_line_dedup_reads_texts_three_times(spark):
+    read = spark.sparkContext.accumulator(0)
+    docs = [(k, f"line number {k % 7} of this text\nand one more line of {k % 5} words\nend", "en", "a") for k in range(40)]
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    table = brute.table(spark, docs)
+    assert line_dedup.repeats(table.mapInArrow(count, table.schema)).count() > 0
+    assert read.value <= 3 * len(docs)
+
+
 def test_removal_tells_texts_under_one_id_apart(spark):
     long = brute.words_text(random.Random(8), 60)
     other = brute.words_text(random.Random(9), 60)
