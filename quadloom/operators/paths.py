@@ -114,9 +114,9 @@ def evaluate(source, path: object, start: T.Const | None = None, end: T.Const |
     if isinstance(path, L.Negated):
         parts = []
         if path.forward or not path.backward:
-            parts.append(source.edges_except(path.forward))
+            parts.append(source.edges_except(path.forward, start))
         if path.backward:
-            parts.append(swap(source.edges_except(path.backward)))
+            parts.append(swap(source.edges_except(path.backward, end)))
         return parts[0] if len(parts) == 1 else joins.union(*parts)
     if isinstance(path, L.Repeat):
         if path.many:
