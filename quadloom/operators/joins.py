@@ -19,6 +19,8 @@ from ..plans.relation import Rel, V, column_name, empty, spark_type
 from ..terms import to_term
 
 _RIGHT = "r@"
+#: Rows of a side of one value that a block of a spread join has, about.
+BLOCK = 2000
 
 
 def _aligned(left: Rel, right: Rel) -> tuple[Rel, Rel, list[str], bool]:
@@ -57,7 +59,7 @@ def join(left: Rel, right: Rel) -> Rel:
         return Rel(left.df.crossJoin(right.df), out)
     firm = [n for n in shared if n not in loose]
     if not loose:
-        return Rel(left.df.join(right.df, [column_name(n) for n in shared]), out)
+        return Rel(_spread(left, right, shared) if many_to_many(left, right) else left.df.join(right.df, [column_name(n) for n in shared]), out)
     parts = []
     for l_bound, l_part in _split(left, loose):
         for r_bound, r_part in _split(right, loose):
@@ -69,6 +71,47 @@ def join(left: Rel, right: Rel) -> Rel:
     return Rel(reduce(DataFrame.unionByName, parts), out)
 
 
+def many_to_many(left: Rel, right: Rel) -> bool:
+    """Whether values of all shared variables are known to repeat on both sides."""
+    shared = [n for n in left.vars if n in right.vars]
+    return bool(shared) and all(left.vars[n].repeats and right.vars[n].repeats for n in shared)
+
+
+def _spread(left: Rel, right: Rel, shared: list[str]) -> DataFrame:
+    """An inner join in which the pairs of a frequent value are no task's burden.
+
+    A value with more than BLOCK * BLOCK pairs is cut into blocks of about BLOCK rows of each side; each row goes to all blocks
+    of its row or column. There are at most (rows of both sides) / BLOCK such values, so their table is broadcast. The number of
+    partitions is given, as the pairs and not the bytes read are the work, by which Spark would put partitions together.
+    """
+    names = [column_name(n) for n in shared]
+    counts = [rel.df.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count(F.lit(1)).alias(n)) for rel, n in ((left, "n@l"), (right, "n@r"))]
+    pieces = lambda n: F.ceil(F.col(f"`{n}`") / BLOCK).cast("int")
+    frequent = counts[0].join(counts[1], names).where(F.col("`n@l`") * F.col("`n@r`") > BLOCK * BLOCK).select(*(F.col(f"`{c}`") for c in names), pieces("n@l").alias("b@l"), pieces("n@r").alias("b@r"))
+    keys = [*names, "at@l", "at@r"]
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        number = lambda side: F.coalesce(F.col(f"`b@{side}`"), F.lit(1))
+        rows = df.join(F.broadcast(frequent), names, "left").select(*columns, F.pmod(F.xxhash64(*columns), number(own)).cast("int").alias(f"at@{own}"), F.explode(F.sequence(F.lit(0), number(other) - 1)).alias(f"at@{other}"))
+        return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(F.col(f"`{c}`") for c in keys))
+
+    return placed(left.df, "l", "r").join(placed(right.df, "r", "l"), keys).drop("at@l", "at@r")
+
+
+def join_all(rels: list[Rel]) -> Rel:
+    """Natural join of several solutions: those that multiply no rows first, cross joins last. Variables stay in order."""
+    names = list(dict.fromkeys(n for r in rels for n in r.vars))
+    shared = {n for n in names if sum(n in r.vars for r in rels) > 1}
+    out, *rest = rels
+    if any(r.vars[n].nullable for r in rels for n in shared & set(r.vars)):
+        return reduce(join, rest, out)
+    while rest:
+        order = [(2 if not set(r.vars) & set(out.vars) else many_to_many(out, r), k) for k, r in enumerate(rest)]
+        out = join(out, rest.pop(min(order)[1]))
+    return out.keep(names)
+
+
 def _split(rel: Rel, loose: list[str]) -> list[tuple[set[str], DataFrame]]:
     """The parts of a side by which of the loose variables are bound."""
     free = [n for n in loose if rel.vars[n].nullable]

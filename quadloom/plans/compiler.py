@@ -101,7 +101,7 @@ class Compiler:
     # ---- joins and sets
 
     def _join(self, node: L.Join) -> Rel:
-        return joins.join(self.compile(node.left), self.compile(node.right))
+        return joins.join_all([self.compile(n) for n in _joined(node)])
 
     def _leftjoin(self, node: L.LeftJoin) -> Rel:
         left, right = self.compile(node.left), self.compile(node.right)
@@ -288,6 +288,10 @@ def _pair(x: tuple[Column, V]) -> tuple[Column, str]:
     return x[0], x[1].kind
 
 
+def _joined(node: object) -> list[object]:
+    return _joined(node.left) + _joined(node.right) if isinstance(node, L.Join) else [node]
+
+
 def _contains_exists(e: object) -> bool:
     return isinstance(e, L.Exists) or isinstance(e, L.Call) and any(map(_contains_exists, e.args))
 

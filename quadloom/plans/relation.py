@@ -23,6 +23,8 @@ class V:
     nullable: bool = False
     #: Of items, the classes that they can belong to, where a source knows them.
     classes: frozenset[int] | None = None
+    #: Whether a source knows that many rows can have the same value.
+    repeats: bool = False
 
 
 @dataclass

@@ -148,7 +148,7 @@ class RelationalSource(Source):
                 a, ka = out[x.name][0], out[x.name][1].kind
                 tests.append(a == value if ka == kind else F.lit(False))
             else:
-                out[x.name] = (value, V(kind, classes=frozenset({c.cls}) if kind == "item" and isinstance(c, Column_) else None))
+                out[x.name] = (value, V(kind, classes=frozenset({c.cls}) if kind == "item" and isinstance(c, Column_) else None, repeats=isinstance(c, Column_) and not (isinstance(v, Entities) and c.name == v.key)))
         if tests:
             df = df.where(reduce(lambda a, b: a & b, tests))
         return Rel(df, {}).select(out)
