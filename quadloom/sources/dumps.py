@@ -24,8 +24,11 @@ _CLOCK = r"^([+-]?\d+)-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)Z$"
 
 
 def once(x: Column) -> Column:
-    """x, worked out one time a row: as its value counts as not repeatable, the optimizer doesn't copy it into filters and projections above."""
-    return F.when(F.spark_partition_id() >= 0, x)
+    """x, worked out one time a row: as its value counts as not repeatable, the optimizer doesn't copy it into filters and projections above.
+
+    The lambda keeps its projection out of the stage's generated code, which would be one method that is too long for the JVM to compile.
+    """
+    return F.when(F.exists(F.array(F.spark_partition_id()), lambda i: i >= 0), x)
 
 
 def entity(name: Column) -> Column:
